@@ -498,3 +498,35 @@ def oracles() -> dict[str, str]:
     out = dict(ORACLES)
     out.update(PREP_ORACLES)
     return out
+
+# ------------------------------------------------------------ JSON payloads
+ORACLES["json_fixtures"] = (W(SNAP) + "SELECT fixture_id, concat(campionato, '-', campionato) AS campionato, "
+                            "match_date AS date, minute, home, away, home_score, away_score, "
+                            "concat(match_date, '-', CAST(fixture_id AS VARCHAR)) AS id_partita FROM snap")
+ORACLES["json_labels"] = "SELECT p_type AS label, max(p_partkey) AS id FROM part GROUP BY p_type"
+ORACLES["json_odds_uo"] = R(W(SNAP) + "SELECT id_partita, minute, odd_over, odd_under FROM snap",
+                            ["odd_over", "odd_under"])
+ORACLES["json_odds_1x2"] = R(W(SNAP) + "SELECT id_partita, minute, odd_1, odd_X, odd_2 FROM snap",
+                             ["odd_1", "odd_X", "odd_2"])
+_STAT_OUT = ["possesso_palla", "tiri", "tiri_in_porta", "tiri_fuori", "tiri_fermati", "calci_d_angolo",
+             "fuorigioco", "parate", "falli", "cartellini_rossi", "cartellini_gialli",
+             "passaggi_totali", "passaggi_completati"]
+
+
+def _stat_expr(stat: str, side: str) -> str:
+    if stat == "possesso_palla":
+        return f"coalesce(CAST({side}_possesso_palla AS INTEGER), 50) AS {side}_possesso_palla"
+    if stat in ("tiri", "falli"):
+        return f"coalesce(CAST({side}_{stat} AS INTEGER), 0) AS {side}_{stat}"
+    return f"0 AS {side}_{stat}"
+
+
+ORACLES["json_statistics"] = (W(SNAP) + "SELECT id_partita, minute, "
+                              + ", ".join(_stat_expr(s, side) for s in _STAT_OUT for side in ("home", "away"))
+                              + " FROM snap WHERE NOT (home_tiri IS NULL AND away_tiri IS NULL)")
+ORACLES["json_extract_key"] = """
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY i) AS INTEGER) AS pos, CAST(v AS VARCHAR) AS value
+FROM (
+  SELECT event_id, unnest(vals) AS v, unnest(range(len(vals))) AS i
+  FROM (SELECT event_id, json_extract(props, '$..k') AS vals FROM events)
+) WHERE NOT (starts_with(CAST(v AS VARCHAR), '{') OR starts_with(CAST(v AS VARCHAR), '['))"""

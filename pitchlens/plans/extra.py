@@ -1 +1,52 @@
 """Registered queries for sources, bet decisions, models and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..schema import KEY
+from ..sources import payloads as pl
+from .catalog import query
+
+
+# ------------------------------------------------------------ JSON payloads
+@query("json_fixtures")
+def q_json_fixtures(spark, sf):
+    """Live-fixture documents (pages per minute) back to snapshot keys."""
+    return pl.parse_fixtures(pl.fixtures_payload(fx.snap(spark, sf)))
+
+
+@query("json_labels")
+def q_json_labels(spark, sf):
+    """Label documents to a label -> id lookup (last id wins)."""
+    return pl.parse_labels(pl.labels_payload(fx.table(spark, sf, "part")))
+
+
+@query("json_odds_uo")
+def q_json_odds_uo(spark, sf):
+    """over/under odds per snapshot from odds documents; missing = 0."""
+    from ..schema import UO_LABELS
+    docs = pl.odds_payload(fx.snap(spark, sf), UO_LABELS, "Over 1.5")
+    return pl.parse_odds_uo(docs)
+
+
+@query("json_odds_1x2")
+def q_json_odds_1x2(spark, sf):
+    """1X2 odds per snapshot from odds documents; missing = 0."""
+    from ..schema import X12_LABELS
+    docs = pl.odds_payload(fx.snap(spark, sf), X12_LABELS, "Home/Draw")
+    return pl.parse_odds_1x2(docs)
+
+
+@query("json_statistics")
+def q_json_statistics(spark, sf):
+    """Statistics documents to 26 columns; empty statistics rows dropped."""
+    return pl.parse_statistics(pl.statistics_payload(fx.snap(spark, sf)))
+
+
+@query("json_extract_key")
+def q_json_extract_key(spark, sf):
+    """Every scalar value of key ``k`` in ``events.props``."""
+    ev = fx.table(spark, sf, "events")
+    return pl.extract_key_values(ev, "k", "props", ("event_id",))

@@ -20,6 +20,7 @@ from ..operators import clean
 from ..operators.encode import encode_category, smooth_mean, total_goals_target
 from ..operators.impute import impute
 from ..schema import API_MISSING_COLS, CAT_COLS, KEY
+from ..session import materialize
 
 
 @dataclass
@@ -49,7 +50,9 @@ def prep_train(raw: DataFrame, task: str = "uo", cat_cols=CAT_COLS,
     df = clean.drop_odds_cols(df)
     df = _drop_nan(df, ["home_final_score", "minute", "away_final_score", KEY],
                    "rows" if task == "uo" else None)
-    df = impute(df)
+    # The cleaned, imputed table feeds the encoder fit, its global mean and
+    # the final projection: write it once instead of recomputing it per use.
+    df = materialize(impute(df))
     if task == "uo":
         enc = smooth_mean(df, "campionato", total_goals_target())
         df = encode_category(df, enc, "campionato")

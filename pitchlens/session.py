@@ -24,6 +24,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -58,3 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``DataFrame.checkpoint()`` writes to the shared folder."""
     _shared_base(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder (reliable
+    checkpoint, survives executor loss) and continue from the written copy."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
