@@ -530,3 +530,85 @@ FROM (
   SELECT event_id, unnest(vals) AS v, unnest(range(len(vals))) AS i
   FROM (SELECT event_id, json_extract(props, '$..k') AS vals FROM events)
 ) WHERE NOT (starts_with(CAST(v AS VARCHAR), '{') OR starts_with(CAST(v AS VARCHAR), '['))"""
+
+
+# ------------------------------------------------------------ exchange and bets
+EVENTS = """events_t AS (
+  SELECT DISTINCT lower(concat(upper(home), ' v ', upper(away))) AS event_name,
+         upper(home) AS home, upper(away) AS away, fixture_id AS event_id FROM snap)"""
+ALERTS = """alerts_t AS (SELECT * FROM rec_uo WHERE probability > 7e-1
+                         UNION ALL SELECT * FROM rec_ef WHERE probability > 7e-1)"""
+TEAM_EVENT = """team_ev AS (
+  SELECT t.team, min(e.event_id) AS event_id
+  FROM (SELECT home AS team FROM alerts_t UNION SELECT away FROM alerts_t) t
+  JOIN events_t e ON contains(e.event_name, lower(t.team))
+  GROUP BY t.team)"""
+MATCHED = """matched AS (
+  SELECT a.*, coalesce(h.event_id, w.event_id) AS event_id
+  FROM alerts_t a LEFT JOIN team_ev h ON lower(a.home) = h.team
+  LEFT JOIN team_ev w ON lower(a.away) = w.team)"""
+SELS = """sels AS (
+  SELECT event_id, event_id * 10 + 1 AS selection_id, 'Under 2.5 Goals' AS runner_name,
+         'Over/Under 2.5 Goals' AS market_name, event_id * 2 AS market_id FROM events_t
+  UNION ALL SELECT event_id, event_id * 10 + 2, 'Over 2.5 Goals', 'Over/Under 2.5 Goals', event_id * 2 FROM events_t
+  UNION ALL SELECT event_id, event_id * 10 + 3, home, 'Match Odds', event_id * 2 + 1 FROM events_t
+  UNION ALL SELECT event_id, event_id * 10 + 4, away, 'Match Odds', event_id * 2 + 1 FROM events_t
+  UNION ALL SELECT event_id, event_id * 10 + 5, 'The Draw', 'Match Odds', event_id * 2 + 1 FROM events_t)"""
+QUOTES = """ql AS (
+  SELECT l_orderkey * 10 + (l_linenumber - 1) % 5 + 1 AS selection_id, l_returnflag = 'N' AS is_back,
+         l_discount * 100 + 1.01e0 AS price, l_quantity AS size FROM lineitem),
+quotes0 AS (
+  SELECT selection_id,
+    max({'price': price, 'size': size}) FILTER (WHERE is_back) AS b,
+    min({'price': price, 'neg': -size}) FILTER (WHERE NOT is_back) AS l
+  FROM ql GROUP BY selection_id),
+quotes AS (
+  SELECT selection_id,
+    coalesce(nullif(b.price, 0), 1.01e0) AS back_price,
+    coalesce(nullif(b.size, 0), 1.01e0) AS back_size,
+    coalesce(nullif(l.price, 0), 1000e0) AS lay_price,
+    coalesce(nullif(-l.neg, 0), 1.01e0) AS lay_size
+  FROM quotes0)"""
+BETS = """bets0 AS (
+  SELECT m.*, e.home AS event_home, e.away AS event_away,
+    CASE WHEN m.prediction IN ('1', 'X', '2') THEN 'Lay' ELSE 'Back' END AS side,
+    CASE WHEN m.prediction = 'under' THEN 'Under 2.5 Goals' WHEN m.prediction = 'over' THEN 'Over 2.5 Goals'
+         WHEN m.prediction = '2' THEN e.home ELSE e.away END AS runner_name
+  FROM matched m LEFT JOIN events_t e ON m.event_id = e.event_id),
+bets1 AS (
+  SELECT b.*, s.selection_id, s.market_id FROM bets0 b LEFT JOIN sels s
+  ON b.event_id = s.event_id AND b.runner_name = s.runner_name AND b.market_name = s.market_name),
+bets AS (
+  SELECT b.*, CASE WHEN side = 'Lay' THEN q.lay_price ELSE q.back_price END AS odd,
+         CASE WHEN side = 'Lay' THEN q.lay_size ELSE q.back_size END AS size_available
+  FROM bets1 b LEFT JOIN quotes q ON b.selection_id = q.selection_id)"""
+BET_BASE = [SNAP, SENT, UO_READY, EF_READY, BLEND_UO, BLEND_EF, REC_UO, REC_EF, ALERTS, EVENTS, TEAM_EVENT, MATCHED]
+
+ORACLES["event_table"] = W(SNAP, EVENTS) + "SELECT * FROM events_t"
+ORACLES["selection_table"] = (W(SNAP, EVENTS, SELS) + "SELECT event_id, selection_id, runner_name, market_name, "
+                              "market_id FROM sels WHERE market_name = 'Over/Under 2.5 Goals'")
+ORACLES["best_quotes"] = R(W(QUOTES) + "SELECT * FROM quotes", ["back_price", "back_size", "lay_price", "lay_size"])
+ORACLES["match_event"] = W(*BET_BASE) + "SELECT id_partita, minute, bet_type, home, away, event_id FROM matched"
+ORACLES["join_selection"] = (W(*BET_BASE, SELS, QUOTES, BETS) + "SELECT id_partita, minute, bet_type, event_id, "
+                              "runner_name, selection_id, market_id FROM bets1")
+ORACLES["join_quote"] = R(W(*BET_BASE, SELS, QUOTES, BETS) + "SELECT id_partita, minute, bet_type, selection_id, side, "
+                          "odd, size_available FROM bets", ["odd", "size_available"])
+ORACLES["bet_side"] = (W(*BET_BASE) + "SELECT id_partita, minute, bet_type, prediction, CASE WHEN prediction IN "
+                       "('1', 'X', '2') THEN 'Lay' ELSE 'Back' END AS side FROM alerts_t")
+ORACLES["risk_tier"] = R(W(*BET_BASE, SELS, QUOTES, BETS) + "SELECT id_partita, minute, bet_type, odd, "
+                         "CASE WHEN odd > 3e0 THEN 'high' ELSE 'low' END AS tier FROM bets", ["odd"])
+ORACLES["bet_rules"] = (W(*BET_BASE) + """SELECT id_partita, minute, bet_type, prediction,
+  CASE WHEN bet_type = 'uo' AND prediction = 'under' AND home_score + away_score >= 1 THEN 'too many goals'
+       WHEN bet_type = 'uo' AND prediction = 'under' AND minute < 45 THEN 'too early'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND home_score + away_score <= 1 THEN 'too few goals'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND minute > 45 THEN 'too late'
+       WHEN bet_type = 'ef' AND prediction = 'X' THEN 'draw'
+       WHEN bet_type = 'ef' AND prediction = '1' AND home_score <= away_score THEN 'team not in advantage'
+       WHEN bet_type = 'ef' AND prediction = '2' AND home_score >= away_score THEN 'team not in advantage'
+  END AS reject_reason FROM alerts_t""")
+STAKE_RAW = ("CASE WHEN side = 'Back' THEN least(size_available, 10e0) "
+             "ELSE least(size_available, CAST(ceil(10e0 / (odd - 1e0)) AS DOUBLE)) END")
+ORACLES["bet_stake"] = R(W(*BET_BASE, SELS, QUOTES, BETS) + f"""SELECT id_partita, minute, bet_type, side, odd,
+  CAST(floor({STAKE_RAW}) AS DOUBLE) AS size,
+  CASE WHEN side = 'Back' THEN odd ELSE {STAKE_RAW} / 10e0 + 1e0 END AS true_odd FROM bets""",
+                         ["odd", "size", "true_odd"])

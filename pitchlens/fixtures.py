@@ -117,3 +117,59 @@ def as_raw(df: DataFrame) -> DataFrame:
 
 def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_raw(snap(spark, sf_dir))
+
+
+# ------------------------------------------------------------ exchange side
+RUNNERS_PER_EVENT = 5   # 1 Under, 2 Over, 3 home team, 4 away team, 5 The Draw
+
+
+def event_listing(snap_df: DataFrame) -> DataFrame:
+    """EVT: one in-play event per fixture, named ``HOME v AWAY`` as listed."""
+    return snap_df.select(
+        F.col("fixture_id").alias("event_id"),
+        F.concat(F.upper("home"), F.lit(" v "), F.upper("away")).alias("name")).distinct()
+
+
+def market_catalogue(events: DataFrame) -> DataFrame:
+    """Per event an over/under market and a match-odds market with their runners;
+    selection id = event id * 10 + runner number."""
+    from .schema import MARKET_1X2, MARKET_UO, RUNNER_NAMES
+    e = F.col("event_id")
+
+    def runner(k: int, name: Column) -> Column:
+        return F.struct((e * 10 + k).alias("selection_id"), name.alias("runner_name"))
+
+    uo = F.struct((e * 2).alias("market_id"), F.lit(MARKET_UO).alias("market_name"),
+                  F.array(runner(1, F.lit(RUNNER_NAMES["under"])),
+                          runner(2, F.lit(RUNNER_NAMES["over"]))).alias("runners"))
+    mo = F.struct((e * 2 + 1).alias("market_id"), F.lit(MARKET_1X2).alias("market_name"),
+                  F.array(runner(3, F.col("home")), runner(4, F.col("away")),
+                          runner(5, F.lit(RUNNER_NAMES["X"]))).alias("runners"))
+    return events.select("event_id", F.explode(F.array(uo, mo)).alias("m")).select(
+        "event_id", "m.market_id", "m.market_name", "m.runners")
+
+
+def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BOOK source: each order line is a quote on one runner of that fixture's
+    event; returnflag 'N' = back offer, other = lay offer."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_orderkey") * 10 + (F.col("l_linenumber") - 1) % RUNNERS_PER_EVENT + 1).alias("selection_id"),
+        F.when(F.col("l_returnflag") == "N", F.lit("back")).otherwise(F.lit("lay")).alias("side"),
+        (F.col("l_discount") * 100 + F.lit(1.01)).alias("price"),
+        F.col("l_quantity").alias("size"))
+
+
+def runner_books(quotes: DataFrame) -> DataFrame:
+    """BOOK: per runner the best-first ladders (depth 1): back = highest price,
+    then largest size; lay = lowest price, then largest size.  Aggregates
+    (max / min of a struct) with map-side partial aggregation, no lists."""
+    back = F.max(F.when(F.col("side") == "back", F.struct("price", "size")))
+    lay = F.min(F.when(F.col("side") == "lay", F.struct(F.col("price"), (-F.col("size")).alias("neg"))))
+    g = quotes.groupBy("selection_id").agg(back.alias("b"), lay.alias("l"))
+    qt = "array<struct<price:double,size:double>>"
+    return g.select(
+        "selection_id",
+        F.when(F.col("b").isNull(), F.array().cast(qt)).otherwise(F.array(F.col("b"))).alias("back"),
+        F.when(F.col("l").isNull(), F.array().cast(qt)).otherwise(
+            F.array(F.struct(F.col("l.price").alias("price"), (-F.col("l.neg")).alias("size")))).alias("lay"))

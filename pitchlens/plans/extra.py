@@ -50,3 +50,118 @@ def q_json_extract_key(spark, sf):
     """Every scalar value of key ``k`` in ``events.props``."""
     ev = fx.table(spark, sf, "events")
     return pl.extract_key_values(ev, "k", "props", ("event_id",))
+
+
+# ------------------------------------------------------------ exchange and bets
+from ..operators import bets as bt  # noqa: E402
+from ..operators import decide as dc  # noqa: E402
+from ..functions.masks import alert  # noqa: E402
+from .catalog import _ef_ready, _uo_ready  # noqa: E402
+
+MAX_EXPOSURE = 30.0
+BUDGET_INIT = {"high": 1, "low": 2}
+RISK_LEVEL_HIGH = 3.0
+
+
+def _events(spark, sf):
+    return bt.event_table(fx.event_listing(fx.snap(spark, sf)))
+
+
+def _alert_preds(spark, sf):
+    uo = dc.prediction_record_uo(dc.blend_uo(_uo_ready(spark, sf)))
+    ef = dc.prediction_record_ef(dc.blend_ef(_ef_ready(spark, sf)))
+    return uo.unionByName(ef).where(alert("probability"))
+
+
+@query("event_table")
+def q_event_table(spark, sf):
+    """S16."""
+    return _events(spark, sf)
+
+
+@query("selection_table")
+def q_selection_table(spark, sf):
+    """Runners of each event's over/under market."""
+    from ..schema import MARKET_UO
+    return bt.selection_table(fx.market_catalogue(_events(spark, sf)), MARKET_UO)
+
+
+@query("best_quotes")
+def q_best_quotes(spark, sf):
+    """S18 / O4 / S22."""
+    return bt.best_quotes(fx.runner_books(fx.quote_lines(spark, sf)))
+
+
+@query("match_event")
+def q_match_event(spark, sf):
+    """Alert predictions to the first event naming the home (else away) team."""
+    preds = _alert_preds(spark, sf).select(KEY, "minute", "bet_type", "home", "away")
+    return bt.match_event(preds, _events(spark, sf))
+
+
+def _bets(spark, sf):
+    """Predictions matched to event, market, runner and quote (B8 up to the stake)."""
+    ev = _events(spark, sf)
+    preds = bt.match_event(_alert_preds(spark, sf), ev)
+    preds = preds.join(ev.select("event_id", F.col("home").alias("event_home"),
+                                 F.col("away").alias("event_away")), "event_id", "left")
+    sel = fx.market_catalogue(ev)
+    sel_uo = bt.selection_table(sel, bt.MARKETS["uo"])
+    sel_mo = bt.selection_table(sel, bt.MARKETS["ef"])
+    b = bt.join_selection(preds.withColumn("side", bt.bet_side(F.col("prediction"))),
+                          sel_uo.unionByName(sel_mo))
+    quotes = bt.best_quotes(fx.runner_books(fx.quote_lines(spark, sf)))
+    return bt.join_quote(b, quotes)
+
+
+@query("join_selection")
+def q_join_selection(spark, sf):
+    """Selection id of the runner each alert would bet on."""
+    ev = _events(spark, sf)
+    preds = bt.match_event(_alert_preds(spark, sf), ev).join(
+        ev.select("event_id", F.col("home").alias("event_home"), F.col("away").alias("event_away")),
+        "event_id", "left")
+    sel = fx.market_catalogue(ev)
+    allsel = bt.selection_table(sel, bt.MARKETS["uo"]).unionByName(bt.selection_table(sel, bt.MARKETS["ef"]))
+    return bt.join_selection(preds, allsel).select(KEY, "minute", "bet_type", "event_id",
+                                                   "runner_name", "selection_id", "market_id")
+
+
+@query("join_quote")
+def q_join_quote(spark, sf):
+    """J9 with B1: side, price and size available for each alert's runner."""
+    return _bets(spark, sf).select(KEY, "minute", "bet_type", "selection_id", "side", "odd",
+                                   "size_available")
+
+
+@query("bet_side")
+def q_bet_side(spark, sf):
+    """B1."""
+    return _alert_preds(spark, sf).select(KEY, "minute", "bet_type", "prediction",
+                                          bt.bet_side(F.col("prediction")).alias("side"))
+
+
+@query("risk_tier")
+def q_risk_tier(spark, sf):
+    """B2 (tier of the quoted odd)."""
+    return _bets(spark, sf).select(KEY, "minute", "bet_type", "odd",
+                                   bt.risk_tier(F.col("odd"), RISK_LEVEL_HIGH).alias("tier"))
+
+
+@query("bet_rules")
+def q_bet_rules(spark, sf):
+    """Match-state rule verdict per alert."""
+    return _alert_preds(spark, sf).select(
+        KEY, "minute", "bet_type", "prediction",
+        bt.rule_reject(F.col("bet_type"), F.col("prediction"), F.col("home_score"),
+                       F.col("away_score"), F.col("minute")).alias("reject_reason"))
+
+
+@query("bet_stake")
+def q_bet_stake(spark, sf):
+    """Stake and risk odd with the exposure split over the budget slots."""
+    b = _bets(spark, sf)
+    size, true_odd = bt.stake(F.col("side"), F.col("odd"), F.col("size_available"),
+                              bt.stake_per_slot(MAX_EXPOSURE, BUDGET_INIT))
+    return b.select(KEY, "minute", "bet_type", "side", "odd", size.alias("size"),
+                    true_odd.alias("true_odd"))
