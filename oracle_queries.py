@@ -612,3 +612,43 @@ ORACLES["bet_stake"] = R(W(*BET_BASE, SELS, QUOTES, BETS) + f"""SELECT id_partit
   CAST(floor({STAKE_RAW}) AS DOUBLE) AS size,
   CASE WHEN side = 'Back' THEN odd ELSE {STAKE_RAW} / 10e0 + 1e0 END AS true_odd FROM bets""",
                          ["odd", "size", "true_odd"])
+
+
+# ------------------------------------------------------------ files and tables
+_TONUM_SELECT = ORACLES["to_numeric"]
+ORACLES["scan_csv"] = ORACLES["to_numeric"]
+_SEASON = "year(CAST(match_date AS DATE))"
+ORACLES["scan_latest_file"] = R(
+    W(SNAP) + "SELECT id_partita, match_date AS date, "
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in RAW_NUM else c
+                for c in ["minute", "home", "away", "campionato", "home_score", "away_score",
+                          "home_final_score", "away_final_score", *FEATS, "odd_over", "odd_under",
+                          "odd_1", "odd_X", "odd_2", "live_odd_over", "live_odd_under", "live_odd_1"])
+    + f" FROM snap WHERE {_SEASON} = (SELECT max({_SEASON}) FROM snap)", RAW_NUM)
+ORACLES["latest_of_file"] = R(
+    W(SNAP) + "SELECT id_partita, "
+    + ", ".join(f"arg_max(CAST({c} AS DOUBLE), minute) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+                if c in ("home_score", "away_score", "home_tiri", "away_contrasti")
+                else (f"arg_max({c}, minute) FILTER (WHERE {c} IS NOT NULL) AS {c}" if c != "minute"
+                      else "CAST(max(minute) AS DOUBLE) AS minute")
+                for c in ["minute", "home", "away", "home_score", "away_score", "home_tiri", "away_contrasti"])
+    + f" FROM snap WHERE {_SEASON} = (SELECT max({_SEASON}) FROM snap) GROUP BY id_partita",
+    ["minute", "home_score", "away_score", "home_tiri", "away_contrasti"])
+_SAVED_COLS = ["fixture_id", "id_partita", "match_date", "minute", "home", "away", "campionato",
+               "home_score", "away_score", "home_final_score", "away_final_score", *FEATS,
+               "odd_over", "odd_under", "odd_1", "odd_X", "odd_2", "live_odd_over", "live_odd_under", "live_odd_1"]
+SAVED = ("saved AS (SELECT " + ", ".join(_SAVED_COLS) + " FROM hist UNION ALL SELECT "
+         + ", ".join("CAST(NULL AS INTEGER) AS " + c if c in ("home_final_score", "away_final_score") else c
+                     for c in _SAVED_COLS) + " FROM live)")
+_SAVED_DBL = [c for c in _SAVED_COLS if c in SNAP_DOUBLES]
+ORACLES["sink_append_open"] = R(W(SNAP, HIST, LIVE, SAVED) + "SELECT * FROM saved", _SAVED_DBL)
+RESULTS = """results AS (
+  SELECT fixture_id, CASE WHEN max(minute) >= 85 THEN 'Match Finished' ELSE 'Second Half' END AS status,
+         max(home_final_score) AS gh, max(away_final_score) AS ga FROM live GROUP BY fixture_id)"""
+ORACLES["backfill_outcomes"] = R(
+    W(SNAP, HIST, LIVE, SAVED, RESULTS)
+    + "SELECT s.* REPLACE ("
+      "CASE WHEN s.home_final_score IS NULL AND r.fixture_id IS NOT NULL THEN r.gh ELSE s.home_final_score END AS home_final_score, "
+      "CASE WHEN s.home_final_score IS NULL AND r.fixture_id IS NOT NULL THEN r.ga ELSE s.away_final_score END AS away_final_score) "
+      "FROM saved s LEFT JOIN (SELECT * FROM results WHERE status = 'Match Finished') r ON s.fixture_id = r.fixture_id",
+    _SAVED_DBL)

@@ -165,3 +165,56 @@ def q_bet_stake(spark, sf):
                               bt.stake_per_slot(MAX_EXPOSURE, BUDGET_INIT))
     return b.select(KEY, "minute", "bet_type", "side", "odd", size.alias("size"),
                     true_odd.alias("true_odd"))
+
+
+# ------------------------------------------------------------ files and tables
+from ..operators.clean import to_numeric  # noqa: E402
+from ..operators.latest import latest_per_match  # noqa: E402
+from ..session import scratch_dir  # noqa: E402
+from ..sources import files as fl  # noqa: E402
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf):
+    """Snapshots written as CSV (index column, ``nan``), read back typed."""
+    raw = fx.raw_snapshots(spark, sf)
+    path = scratch_dir(spark, "snap-csv")
+    fl.write_snapshot_csv(raw, path)
+    return fl.read_snapshot_csv(spark, path, fl.csv_schema(raw.columns))
+
+
+def _season_files(spark, sf):
+    raw = fx.raw_snapshots(spark, sf).withColumn("season", F.year(F.to_date("date")))
+    path = scratch_dir(spark, "snap-seasons")
+    fl.write_snapshot_csv(raw, path, partition_by=["season"])
+    schema = fl.csv_schema([c for c in raw.columns if c != "season"])
+    return fl.read_numbered_files(spark, path, schema, "season")
+
+
+@query("scan_latest_file")
+def q_scan_latest_file(spark, sf):
+    """One file per season; the newest season is the live input."""
+    return fl.latest_file(_season_files(spark, sf), "season").drop("season")
+
+
+@query("latest_of_file")
+def q_latest_of_file(spark, sf):
+    """Newest non-missing values per match in the newest file."""
+    df = fl.latest_file(_season_files(spark, sf), "season")
+    return latest_per_match(df.select(KEY, "minute", "home", "away", "home_score", "away_score",
+                                      "home_tiri", "away_contrasti"))
+
+
+@query("sink_append_open")
+def q_sink_append_open(spark, sf):
+    """Finished matches saved, live snapshots appended with open outcomes."""
+    path = scratch_dir(spark, "match-table")
+    fl.write_table(fx.hist(spark, sf).drop(*fx.MODEL_OUTPUT), path, "overwrite")
+    fl.write_table(fl.with_open_outcome(fx.live(spark, sf).drop(*fx.MODEL_OUTPUT)), path, "append")
+    return spark.read.parquet(path)
+
+
+@query("backfill_outcomes")
+def q_backfill_outcomes(spark, sf):
+    """Open outcomes of finished fixtures filled in; a new table version."""
+    return fl.backfill_outcomes(fl.saved_match_table(spark, sf), fl.fixture_results(spark, sf))
