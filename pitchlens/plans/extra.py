@@ -218,3 +218,102 @@ def q_sink_append_open(spark, sf):
 def q_backfill_outcomes(spark, sf):
     """Open outcomes of finished fixtures filled in; a new table version."""
     return fl.backfill_outcomes(fl.saved_match_table(spark, sf), fl.fixture_results(spark, sf))
+
+
+# ------------------------------------------------------------ models
+from ..functions import masks as mk  # noqa: E402
+from . import model as mdl  # noqa: E402
+from . import search as srch  # noqa: E402
+from .preprocess import feature_cols, prep_test, prep_train  # noqa: E402
+
+# Registered model queries keep trees small (maxIter 5, depth 3) so a check
+# stays quick; the library defaults and the full grids are in plans/model.py.
+SMALL = {"maxIter": 5, "maxDepth": 3}
+# Reduced-cost grid for the registered search query (the full grids are
+# model.GRID_UO / GRID_EF): tree counts scaled down, other axes as published.
+SEARCH_GRID = {"learning_rate": [0.05, 0.1, 0.15, 0.20, 0.3], "n_estimators": [3, 5],
+               "min_child_weight": [3, 5, 10, 15], "gamma": [0.3, 0.5, 0.7, 1, 1.5],
+               "subsample": [0.4, 0.6, 0.8, 1.0], "colsample_bytree": [0.4, 0.6, 0.8, 1.0],
+               "max_depth": [2, 3]}
+
+
+def _fit(spark, sf, task):
+    tr = prep_train(fx.as_raw(fx.hist(spark, sf)), task)
+    m = mdl.fit(tr.table, feature_cols(tr.table, task), task, SMALL)
+    return tr, m
+
+
+@query("fit_uo")
+def q_fit_uo(spark, sf):
+    """M1: over/under model on the training matches; feature importances."""
+    _, m = _fit(spark, sf, "uo")
+    return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
+
+
+@query("fit_ef")
+def q_fit_ef(spark, sf):
+    """M2 / M3: three one-vs-rest models for 1/X/2; mean feature importances."""
+    _, m = _fit(spark, sf, "ef")
+    return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
+
+
+def _score_q(task):
+    def q(spark, sf):
+        tr, m = _fit(spark, sf, task)
+        te = prep_test(fx.as_raw(fx.live(spark, sf)), tr, task)
+        out = mdl.score(m, te, [KEY, "minute"])
+        return out
+    return q
+
+
+query("score_uo")(_score_q("uo"))
+query("score_ef")(_score_q("ef"))
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """Fit, save to the shared folder, load, score the scoring matches."""
+    tr, m = _fit(spark, sf, "ef")
+    path = scratch_dir(spark, "model-ef")
+    mdl.save(m, path)
+    back = mdl.load(path, "ef", m.features)
+    te = prep_test(fx.as_raw(fx.live(spark, sf)), tr, "ef")
+    return mdl.score(back, te, [KEY, "minute"])
+
+
+def _cv_q(task, mask):
+    def q(spark, sf):
+        snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
+        res = srch.cross_validate(snaps, mask, task, "odds", SMALL, cv=5, threshold=0.7)
+        return srch.cv_summary(spark, res, 5)
+    return q
+
+
+query("cv_uo")(_cv_q("uo", mk.mask_one_goal()))
+query("cv_ef")(_cv_q("ef", mk.mask_mid_game()))
+
+
+@query("random_search")
+def q_random_search(spark, sf):
+    """Two sampled trials, best kept, champion gate on the registry."""
+    snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
+    rows = srch.random_search(snaps, mk.mask_one_goal(), SEARCH_GRID, "uo", "odds", trials=2, cv=3)
+    reg = scratch_dir(spark, "registry")
+    out = []
+    for r in rows:
+        saved = srch.champion_gate(spark, reg, "uo", r["accuracy_thresh"], r["params"], "", False) \
+            if r["is_best"] else False
+        out.append((r["trial"], r["params"], r["accuracy_thresh"], r["accuracy_05"], r["is_best"], saved))
+    return spark.createDataFrame(out, "trial int, params string, accuracy_thresh double, "
+                                      "accuracy_05 double, is_best boolean, saved boolean")
+
+
+def _live_q(task):
+    def q(spark, sf):
+        return srch.live_predictions(fx.as_raw(fx.hist(spark, sf)), fx.as_raw(fx.live(spark, sf)),
+                                     task, SMALL)
+    return q
+
+
+query("live_predictions_uo")(_live_q("uo"))
+query("live_predictions_ef")(_live_q("ef"))
