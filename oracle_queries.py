@@ -652,3 +652,12 @@ ORACLES["backfill_outcomes"] = R(
       "CASE WHEN s.home_final_score IS NULL AND r.fixture_id IS NOT NULL THEN r.ga ELSE s.away_final_score END AS away_final_score) "
       "FROM saved s LEFT JOIN (SELECT * FROM results WHERE status = 'Match Finished') r ON s.fixture_id = r.fixture_id",
     _SAVED_DBL)
+
+
+# ------------------------------------------------------------ streams
+ORACLES["stream_snapshots"] = R(
+    W(SNAP) + "SELECT fixture_id, concat(campionato, '-', campionato) AS campionato, match_date AS date, minute, "
+    "home, away, home_score, away_score, concat(match_date, '-', CAST(fixture_id AS VARCHAR)) AS id_partita, "
+    + ", ".join(_stat_expr(s, side) for s in _STAT_OUT for side in ("home", "away"))
+    + ", odd_over, odd_under, odd_1, odd_X, odd_2 FROM snap WHERE NOT (home_tiri IS NULL AND away_tiri IS NULL)",
+    ["odd_over", "odd_under", "odd_1", "odd_X", "odd_2"])

@@ -317,3 +317,51 @@ def _live_q(task):
 
 query("live_predictions_uo")(_live_q("uo"))
 query("live_predictions_ef")(_live_q("ef"))
+
+
+# ------------------------------------------------------------ streams
+from ..streaming import live as lv  # noqa: E402
+
+
+def _landing(spark, snap_df, name):
+    """Poll records written as JSON-lines files into a fresh landing folder."""
+    path = scratch_dir(spark, name)
+    lv.poll_records(snap_df).repartition(4).write.json(path)
+    return path
+
+
+@query("stream_snapshots")
+def q_stream_snapshots(spark, sf):
+    """Poll files drained by a stream (availableNow), parsed to snapshot rows."""
+    land = _landing(spark, fx.snap(spark, sf), "landing")
+    sink, ck = scratch_dir(spark, "snap-sink"), scratch_dir(spark, "snap-ckpt")
+    lv.run_available_now(lv.parse_polls(lv.read_polls(spark, land)), sink, ck)
+    return spark.read.parquet(sink)
+
+
+def _stream_scored(spark, sf):
+    hist_raw = fx.as_raw(fx.hist(spark, sf)).drop("home_contrasti", "away_contrasti")
+    tr = prep_train(hist_raw, "ef")
+    m = mdl.fit(tr.table, feature_cols(tr.table, "ef"), "ef", SMALL)
+    land = _landing(spark, fx.live(spark, sf), "landing-live")
+    snaps = lv.parse_polls(lv.read_polls(spark, land))
+    return lv.score_stream(snaps, tr, m, ["possesso_palla", "tiri", "falli"])
+
+
+@query("stream_scores")
+def q_stream_scores(spark, sf):
+    """Live polls scored against the static training state, blended."""
+    scored = _stream_scored(spark, sf).select(
+        KEY, "minute", "probability_1", "probability_X", "probability_2",
+        "probability_final", "prediction_final")
+    sink, ck = scratch_dir(spark, "score-sink"), scratch_dir(spark, "score-ckpt")
+    lv.run_available_now(scored, sink, ck)
+    return spark.read.parquet(sink)
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf):
+    """Alerts above 0.7 appended to the alert table (one per match and poll)."""
+    sink, ck = scratch_dir(spark, "alert-sink"), scratch_dir(spark, "alert-ckpt")
+    lv.run_available_now(lv.alerts(_stream_scored(spark, sf)), sink, ck)
+    return spark.read.parquet(sink)
