@@ -661,3 +661,40 @@ ORACLES["stream_snapshots"] = R(
     + ", ".join(_stat_expr(s, side) for s in _STAT_OUT for side in ("home", "away"))
     + ", odd_over, odd_under, odd_1, odd_X, odd_2 FROM snap WHERE NOT (home_tiri IS NULL AND away_tiri IS NULL)",
     ["odd_over", "odd_under", "odd_1", "odd_X", "odd_2"])
+
+
+# ------------------------------------------------------------ budget (sequential oracle)
+BT = f"""bt AS (
+  SELECT b.*, d.match_date,
+    CASE WHEN odd > 3e0 THEN 'high' ELSE 'low' END AS tier_check,
+    CASE WHEN (CASE WHEN side = 'Back' THEN odd ELSE {STAKE_RAW} / 10e0 + 1e0 END) > 3e0
+         THEN 'high' ELSE 'low' END AS tier_use,
+    (b.event_id IS NOT NULL AND b.selection_id IS NOT NULL AND NOT (
+       (bet_type = 'uo' AND prediction = 'under' AND (home_score + away_score >= 1 OR minute < 45))
+    OR (bet_type = 'uo' AND prediction = 'over' AND (home_score + away_score <= 1 OR minute > 45))
+    OR (bet_type = 'ef' AND prediction = 'X')
+    OR (bet_type = 'ef' AND prediction = '1' AND home_score <= away_score)
+    OR (bet_type = 'ef' AND prediction = '2' AND home_score >= away_score))) AS eligible
+  FROM bets b JOIN (SELECT DISTINCT id_partita, match_date FROM snap) d ON b.id_partita = d.id_partita),
+brows AS (
+  SELECT *, row_number() OVER (PARTITION BY match_date ORDER BY minute, id_partita, bet_type) AS rn FROM bt),
+walk AS (
+  SELECT match_date, CAST(1 AS BIGINT) AS rn, 1 AS h, 2 AS l FROM (SELECT DISTINCT match_date FROM brows)
+  UNION ALL
+  SELECT match_date, rn + 1,
+    CASE WHEN ok AND h2 + l2 = 0 THEN 1 ELSE h2 END,
+    CASE WHEN ok AND h2 + l2 = 0 THEN 2 ELSE l2 END
+  FROM (
+    SELECT w.match_date, w.rn, ok,
+      w.h - CASE WHEN ok AND r.tier_use = 'high' THEN 1 ELSE 0 END AS h2,
+      w.l - CASE WHEN ok AND r.tier_use = 'low' THEN 1 ELSE 0 END AS l2
+    FROM walk w JOIN (
+      SELECT b.*, 0 AS dummy FROM brows b) r ON r.match_date = w.match_date AND r.rn = w.rn
+    CROSS JOIN LATERAL (SELECT r.eligible AND NOT ((r.tier_check = 'high' AND w.h = 0)
+                                                   OR (r.tier_check = 'low' AND w.l = 0)) AS ok) o
+  ) step)"""
+ORACLES["bet_budget"] = ("WITH RECURSIVE " + ",\n".join([*BET_BASE, SELS, QUOTES, BETS, BT]) + """
+SELECT r.match_date, r.id_partita, r.minute, r.bet_type, w.h AS budget_high, w.l AS budget_low,
+  ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0)) AS budget_empty,
+  (r.eligible AND NOT ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0))) AS accepted
+FROM brows r JOIN walk w ON r.match_date = w.match_date AND r.rn = w.rn""")

@@ -84,10 +84,10 @@ def model_only_ef(df: DataFrame) -> DataFrame:
                        "prediction_final_encoded", True)
 
 
-def prediction_record_uo(df: DataFrame) -> DataFrame:
+def prediction_record_uo(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """M8 (UO): probabilities shown as max(p, 1 - p)."""
     pf, pm = F.col("probability_final_over"), F.col("probability_over")
-    return df.select(
+    return df.select(*extra,
         "id_partita", "minute", "home", "away", "home_score", "away_score",
         F.lit(MARKET_UO).alias("market_name"), F.lit("uo").alias("bet_type"),
         F.col("prediction_final").alias("prediction"),
@@ -95,10 +95,11 @@ def prediction_record_uo(df: DataFrame) -> DataFrame:
         F.when(pm > 0.5, pm).otherwise(F.lit(1.0) - pm).alias("model_probability"))
 
 
-def prediction_record_ef(df: DataFrame, market_name: str | None = None) -> DataFrame:
+def prediction_record_ef(df: DataFrame, market_name: str | None = None,
+                         extra: tuple[str, ...] = ()) -> DataFrame:
     """M8 (EF): model probability = max of the three model probabilities."""
     from ..schema import MARKET_1X2
-    return df.select(
+    return df.select(*extra,
         "id_partita", "minute", "home", "away", "home_score", "away_score",
         F.lit(market_name or MARKET_1X2).alias("market_name"), F.lit("ef").alias("bet_type"),
         F.col("prediction_final").alias("prediction"),

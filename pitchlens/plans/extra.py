@@ -67,9 +67,9 @@ def _events(spark, sf):
     return bt.event_table(fx.event_listing(fx.snap(spark, sf)))
 
 
-def _alert_preds(spark, sf):
-    uo = dc.prediction_record_uo(dc.blend_uo(_uo_ready(spark, sf)))
-    ef = dc.prediction_record_ef(dc.blend_ef(_ef_ready(spark, sf)))
+def _alert_preds(spark, sf, extra=()):
+    uo = dc.prediction_record_uo(dc.blend_uo(_uo_ready(spark, sf)), extra)
+    ef = dc.prediction_record_ef(dc.blend_ef(_ef_ready(spark, sf)), None, extra)
     return uo.unionByName(ef).where(alert("probability"))
 
 
@@ -99,10 +99,10 @@ def q_match_event(spark, sf):
     return bt.match_event(preds, _events(spark, sf))
 
 
-def _bets(spark, sf):
+def _bets(spark, sf, extra=()):
     """Predictions matched to event, market, runner and quote (B8 up to the stake)."""
     ev = _events(spark, sf)
-    preds = bt.match_event(_alert_preds(spark, sf), ev)
+    preds = bt.match_event(_alert_preds(spark, sf, extra), ev)
     preds = preds.join(ev.select("event_id", F.col("home").alias("event_home"),
                                  F.col("away").alias("event_away")), "event_id", "left")
     sel = fx.market_catalogue(ev)
@@ -284,13 +284,13 @@ def q_model_roundtrip(spark, sf):
 def _cv_q(task, mask):
     def q(spark, sf):
         snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
-        res = srch.cross_validate(snaps, mask, task, "odds", SMALL, cv=5, threshold=0.7)
+        res = srch.cross_validate(snaps, mask(), task, "odds", SMALL, cv=5, threshold=0.7)
         return srch.cv_summary(spark, res, 5)
     return q
 
 
-query("cv_uo")(_cv_q("uo", mk.mask_one_goal()))
-query("cv_ef")(_cv_q("ef", mk.mask_mid_game()))
+query("cv_uo")(_cv_q("uo", mk.mask_one_goal))
+query("cv_ef")(_cv_q("ef", mk.mask_mid_game))
 
 
 @query("random_search")
@@ -365,3 +365,48 @@ def q_stream_alerts(spark, sf):
     sink, ck = scratch_dir(spark, "alert-sink"), scratch_dir(spark, "alert-ckpt")
     lv.run_available_now(lv.alerts(_stream_scored(spark, sf)), sink, ck)
     return spark.read.parquet(sink)
+
+
+# ------------------------------------------------------------ budget and backtest
+from ..operators.budget import budget_fold  # noqa: E402
+
+_BT_KEYS = [KEY, "minute", "bet_type"]
+_BT_ORDER = ["minute", KEY, "bet_type"]   # within a trading day: match minute, then match, then market
+
+
+def _backtest_rows(spark, sf):
+    """B8 inputs: every alert with event, runner, quote, rules, stake and tiers."""
+    b = _bets(spark, sf, ("match_date",))
+    size, true_odd = bt.stake(F.col("side"), F.col("odd"), F.col("size_available"),
+                              bt.stake_per_slot(MAX_EXPOSURE, BUDGET_INIT))
+    rule = bt.rule_reject(F.col("bet_type"), F.col("prediction"), F.col("home_score"),
+                          F.col("away_score"), F.col("minute"))
+    skip = (F.when(F.col("event_id").isNull(), F.lit("no event"))
+             .when(F.col("selection_id").isNull(), F.lit("no market")))
+    return b.withColumns({
+        "size": size, "true_odd": true_odd, "rule_reason": rule, "skip_reason": skip,
+        "tier_check": bt.risk_tier(F.col("odd"), RISK_LEVEL_HIGH),
+        "tier_use": bt.risk_tier(true_odd, RISK_LEVEL_HIGH),
+        "eligible": skip.isNull() & rule.isNull(),
+        "exposure_ok": F.lit(True), "balance_up": F.lit(False)})
+
+
+@query("bet_budget")
+def q_bet_budget(spark, sf):
+    """Budget slots before each alert of a trading day, in (minute, match, type) order."""
+    rows = _backtest_rows(spark, sf)
+    return budget_fold(rows, "match_date", _BT_ORDER, BUDGET_INIT, _BT_KEYS)
+
+
+@query("bet_backtest")
+def q_bet_backtest(spark, sf):
+    """The full decision per alert: placed or the reason it was not."""
+    rows = _backtest_rows(spark, sf)
+    fold = budget_fold(rows, "match_date", _BT_ORDER, BUDGET_INIT, _BT_KEYS)
+    j = rows.join(fold, ["match_date", *_BT_KEYS])
+    reason = (F.when(F.col("skip_reason").isNotNull(), F.col("skip_reason"))
+               .when(F.col("budget_empty"), F.lit("no budget"))
+               .when(F.col("rule_reason").isNotNull(), F.col("rule_reason")))
+    return j.select("match_date", KEY, "minute", "bet_type", "prediction", "side", "odd", "size",
+                    "true_odd", "budget_high", "budget_low", "accepted",
+                    reason.alias("reject_reason"))
