@@ -161,7 +161,8 @@ def R(sql: str, doubles: list[str]) -> str:
     """Round the named double columns to 6 digits."""
     if not doubles:
         return sql
-    rep = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+    # "+ 0" turns a negative zero into zero, as Spark's decimal rounding does
+    rep = ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _r"
 
 

@@ -410,3 +410,12 @@ def q_bet_backtest(spark, sf):
     return j.select("match_date", KEY, "minute", "bet_type", "prediction", "side", "odd", "size",
                     "true_odd", "budget_high", "budget_low", "accepted",
                     reason.alias("reject_reason"))
+
+
+@query("sink_training")
+def q_sink_training(spark, sf):
+    """The processed training table written as parquet and read back."""
+    tr = prep_train(fx.as_raw(fx.hist(spark, sf)), "uo")
+    path = scratch_dir(spark, "training-uo")
+    fl.write_table(tr.table, path)
+    return spark.read.parquet(path)
