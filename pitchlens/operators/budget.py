@@ -56,7 +56,9 @@ class Space:
 
 
 def _step(sp: Space, s: Column, r: Column):
-    """(state after, accepted, budget empty) of row ``r`` from state ``s``."""
+    """(state after, accepted, budget empty, state used for the decision) of row
+    ``r`` from state ``s``: a balance above the start restores the initial
+    budget first; without exposure the row is dropped and nothing changes."""
     s1 = F.when(r["balance_up"], F.lit(sp.init)).otherwise(s)
     h1, l1 = sp.high(s1), sp.low(s1)
     empty = (((r["tier_check"] == "high") & (h1 == 0)) | ((r["tier_check"] == "low") & (l1 == 0)))
@@ -66,7 +68,7 @@ def _step(sp: Space, s: Column, r: Column):
     reset = ok & (h2 + l2 == 0) & r["exposure_ok"]
     after = F.when(reset, F.lit(sp.reset)).otherwise(sp.idx(h2, l2))
     after = F.when(r["exposure_ok"], after).otherwise(s)
-    return after, ok, empty
+    return after, ok, empty, s1
 
 
 def budget_fold(bets: DataFrame, session: str, order: list[str], init: dict,
@@ -76,7 +78,7 @@ def budget_fold(bets: DataFrame, session: str, order: list[str], init: dict,
     ``bets`` needs: ``tier_check`` / ``tier_use`` ('high'/'low', from the
     quoted and the risk odd), ``eligible`` (event, market, quote and rules
     passed), ``exposure_ok`` and ``balance_up`` booleans.  Output: ``keys``
-    + ``budget_high`` / ``budget_low`` before the bet, ``budget_empty``,
+    + ``budget_high`` / ``budget_low`` the bet is decided on, ``budget_empty``,
     ``accepted``.
     """
     sp = Space(init)
@@ -118,8 +120,8 @@ def budget_fold(bets: DataFrame, session: str, order: list[str], init: dict,
     z = F.struct(F.col("__start").alias("cur"), F.array().cast(out_t).alias("out"))
 
     def replay(acc, r):
-        after, ok, empty = _step(sp, acc["cur"], r)
-        rec = F.struct(r["__seq"].alias("seq"), acc["cur"].alias("before"),
+        after, ok, empty, used = _step(sp, acc["cur"], r)
+        rec = F.struct(r["__seq"].alias("seq"), used.alias("before"),
                        ok.alias("accepted"), empty.alias("empty"))
         return F.struct(after.alias("cur"), F.array_append(acc["out"], rec).alias("out"))
 

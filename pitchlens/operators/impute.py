@@ -51,6 +51,8 @@ def bin_means(donors: DataFrame, stats=None) -> DataFrame:
     Output: ``bin`` plus ``mean_<s>`` per stat; at most 17 rows.
     """
     stats = _imputed_stats(donors, stats)
+    if not stats:  # nothing to average: an empty bin table
+        return donors.select(F.lit(None).cast("int").alias("bin")).where(F.lit(False))
     both = {s: F.col(f"home_{s}").isNotNull() & F.col(f"away_{s}").isNotNull() for s in stats}
     exploded = donors.select(
         F.explode(donor_bins(F.col("minute"))).alias("bin"),

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "pitchlens") -> SparkSession:
+                  app_name: str = "pitchlens", driver_memory: str | None = None) -> SparkSession:
     """Session with AQE on and the UI off.
 
     On a cluster ``master`` is left to spark-submit; ``shuffle_partitions`` is an
@@ -28,6 +28,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:  # local mode: the driver JVM is the whole cluster
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
