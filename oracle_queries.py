@@ -699,3 +699,46 @@ SELECT r.match_date, r.id_partita, r.minute, r.bet_type, w.h AS budget_high, w.l
   ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0)) AS budget_empty,
   (r.eligible AND NOT ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0))) AS accepted
 FROM brows r JOIN walk w ON r.match_date = w.match_date AND r.rn = w.rn""")
+
+
+# ------------------------------------------------------------ priors
+PRI = {"avg_camp_goals": "probability_over", "home_avg_goal_fatti": "probability_1",
+       "away_avg_goal_fatti": "probability_2", "home_avg_goal_subiti": "probability_2",
+       "away_avg_goal_subiti": "probability_1"}
+_H = "h AS (SELECT fixture_id, minute, campionato, home, away, " + ", ".join(f"{v} AS {k}" for k, v in PRI.items()) + " FROM hist)"
+_both = "both_t AS (SELECT home AS t FROM h INTERSECT SELECT away FROM h)"
+_lp = "lp AS (SELECT campionato, arg_min(avg_camp_goals, (fixture_id, minute)) AS v FROM h WHERE campionato IS NOT NULL GROUP BY campionato)"
+_tp = []
+_sel = []
+for side in ("home", "away"):
+    for kind in ("fatti", "subiti"):
+        c = f"{side}_avg_goal_{kind}"
+        _tp.append(f"p_{c} AS (SELECT {side} AS t, arg_min({c}, (fixture_id, minute)) AS v FROM h "
+                   f"WHERE {side} IS NOT NULL GROUP BY {side})")
+        _sel.append(f"CAST(CASE WHEN l.{side} IN (SELECT t FROM both_t) THEN (SELECT v FROM p_{c} WHERE t = l.{side}) "
+                    f"ELSE (SELECT avg({c}) FROM h) END AS DOUBLE) AS {c}")
+ORACLES["team_priors"] = R(
+    W(SNAP, HIST, LIVE, _H, _both, _lp, *_tp)
+    + "SELECT l.id_partita, l.minute, l.campionato, l.home, l.away, "
+      "CAST(coalesce(lp.v, (SELECT avg(avg_camp_goals) FROM h)) AS DOUBLE) AS avg_camp_goals, "
+    + ", ".join(_sel) + " FROM live l LEFT JOIN lp ON l.campionato = lp.campionato",
+    list(PRI))
+
+
+ORACLES["exposure_ok"] = R("""
+WITH res AS (SELECT o_custkey, sum(o_totalprice % 200e0 - 100e0) AS pnl
+             FROM orders GROUP BY o_custkey),
+acct AS (SELECT c_custkey, c_acctbal AS start_balance, c_acctbal + coalesce(pnl, 0e0) AS balance_now
+         FROM customer LEFT JOIN res ON c_custkey = o_custkey)
+SELECT c_custkey, start_balance, balance_now, balance_now + 30e0 > start_balance AS exposure_ok,
+       balance_now > start_balance AS restore_budget FROM acct""", ["start_balance", "balance_now"])
+_MASK_ORDER = ["one_goal", "draw_now", "mid_game", "all"]
+ORACLES["champion_gate"] = R(
+    W(SNAP, SENT, UO_READY, BLEND_UO, "runs AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS run, '{m}' AS mask, avg(CASE WHEN coalesce({_MASK_SQL[m]}, false) THEN "
+        f"CAST(prediction_final_encoded = {LABEL_UO} AS DOUBLE) END) AS accuracy FROM buo"
+        for i, m in enumerate(_MASK_ORDER)) + ")")
+    + "SELECT run, mask, accuracy, max(accuracy) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) "
+      "AS previous_best, (max(accuracy) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL "
+      "OR accuracy > max(accuracy) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS saved FROM runs",
+    ["accuracy", "previous_best"])

@@ -419,3 +419,59 @@ def q_sink_training(spark, sf):
     path = scratch_dir(spark, "training-uo")
     fl.write_table(tr.table, path)
     return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------ priors
+from ..operators.encode import team_priors  # noqa: E402
+
+_PRIORS = {"avg_camp_goals": "probability_over", "home_avg_goal_fatti": "probability_1",
+           "away_avg_goal_fatti": "probability_2", "home_avg_goal_subiti": "probability_2",
+           "away_avg_goal_subiti": "probability_1"}
+
+
+@query("team_priors")
+def q_team_priors(spark, sf):
+    """League and team priors of the scoring matches from the first stored
+    training row of each key (training mean for unseen leagues and for teams not
+    seen on both sides).  Stored prior columns are stand-ins from the fixture."""
+    train = fx.hist(spark, sf).select("fixture_id", "minute", "campionato", "home", "away",
+                                      *[F.col(v).alias(k) for k, v in _PRIORS.items()])
+    test = fx.live(spark, sf).select(KEY, "minute", "campionato", "home", "away")
+    return team_priors(train, test, ["fixture_id", "minute"])
+
+
+@query("exposure_ok")
+def q_exposure_ok(spark, sf):
+    """B6 on account balances: start = customer balance, now = start plus the
+    customer's order results (total price mod 200 - 100 per order)."""
+    cust = fx.table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("start_balance"))
+    res = (fx.table(spark, sf, "orders")
+           .groupBy("o_custkey").agg(F.sum(F.pmod(F.col("o_totalprice"), F.lit(200.0)) - 100.0).alias("pnl")))
+    acct = cust.join(res, cust["c_custkey"] == res["o_custkey"], "left").select(
+        "c_custkey", "start_balance",
+        (F.col("start_balance") + F.coalesce(F.col("pnl"), F.lit(0.0))).alias("balance_now"))
+    return acct.select("c_custkey", "start_balance", "balance_now",
+                       bt.exposure_ok(F.col("balance_now"), F.col("start_balance"), MAX_EXPOSURE).alias("exposure_ok"),
+                       (F.col("balance_now") > F.col("start_balance")).alias("restore_budget"))
+
+
+@query("champion_gate")
+def q_champion_gate(spark, sf):
+    """runs = the blended over/under decision evaluated under each scenario
+    mask in turn; a run is saved when its accuracy beats every earlier run
+    (the registry keeps the best so far)."""
+    from ..functions.features import label_uo
+    from pyspark.sql import Window
+    scored = dc.blend_uo(_uo_ready(spark, sf)).withColumn("final_uo", label_uo())
+    right = (F.col("prediction_final_encoded") == F.col("final_uo")).cast("double")
+    runs = scored.agg(*[F.avg(F.when(mk.null_false(m()), right)).alias(f"r{i}")
+                        for i, m in enumerate(mk.MASKS.values())])
+    names = list(mk.MASKS)
+    long = runs.select(F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.lit(n).alias("mask"),
+                                                    F.col(f"r{i}").alias("accuracy"))
+                                           for i, n in enumerate(names)])).alias("x")).select("x.*")
+    # one row per run (4 rows): the running best needs no partitioning
+    w = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.max("accuracy").over(w)
+    return long.select("run", "mask", "accuracy", prev.alias("previous_best"),
+                       (prev.isNull() | (F.col("accuracy") > prev)).alias("saved"))
