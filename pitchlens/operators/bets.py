@@ -59,25 +59,29 @@ def best_quotes(books: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ matching
-def _substrings(s: Column) -> Column:
-    """Every non-empty substring of ``s`` (as an array)."""
-    n = F.length(s)
-    return F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))),
-                              lambda ln: F.substring(s, i, ln))))
-
-
-def first_event_by_name(events: DataFrame) -> DataFrame:
-    """For every text that occurs inside some event name, the first such event.
-
-    ``contains`` turned into an equi-join key: each event name is exploded to
-    its substrings and ``min(event_id)`` is taken per substring (a partial
-    aggregate, so a substring shared by every event -- ``" v "`` -- collapses
-    map-side).  Work is linear in the events, never events x predictions.
+def first_event_by_name(events: DataFrame, names: DataFrame) -> DataFrame:
+    """For every name in ``names`` that occurs inside some event name, the first such event.
+
+    ``contains`` turned into an equi-join key: each event name is cut into
+    its substrings of the lengths the wanted names have (a set bounded by the
+    longest name, read once), those equal to a wanted name are kept (a
+    semi-join AQE broadcasts when the name set is small) and ``min(event_id)``
+    is taken per name with partial aggregation.  Work is linear in the events,
+    never events x predictions.
     """
-    ex = events.select("event_id", F.explode(F.array_distinct(_substrings(F.col("event_name")))).alias("part"))
-    return ex.groupBy("part").agg(F.min("event_id").alias("first_event_id"))
+    wanted = names.select(F.col("name").alias("part")).where(F.col("part").isNotNull()).distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.length("part")).distinct().collect())
+    if not lengths:
+        return wanted.select("part", F.lit(None).cast("long").alias("first_event_id")).where(F.lit(False))
+    n = F.length("event_name")
+    starts = events.select("event_id", "event_name",
+                           F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("start"))
+    cuts = starts.select("event_id", "event_name", "start",
+                         F.explode(F.array(*[F.lit(x) for x in lengths])).alias("len"))
+    cuts = cuts.where(F.col("start") + F.col("len") - 1 <= F.length("event_name"))
+    parts = cuts.select("event_id", F.substring(F.col("event_name"), F.col("start"), F.col("len")).alias("part"))
+    hits = parts.join(wanted, "part", "left_semi")
+    return hits.groupBy("part").agg(F.min("event_id").alias("first_event_id"))
 
 
 def match_event(preds: DataFrame, events: DataFrame) -> DataFrame:
@@ -85,7 +89,8 @@ def match_event(preds: DataFrame, events: DataFrame) -> DataFrame:
 
     ``events`` as from :func:`event_table`; table order = ``event_id`` order.
     """
-    idx = first_event_by_name(events)
+    names = preds.select(F.lower("home").alias("name")).union(preds.select(F.lower("away").alias("name")))
+    idx = first_event_by_name(events, names)
     h = idx.select(F.col("part").alias("__h"), F.col("first_event_id").alias("__eh"))
     a = idx.select(F.col("part").alias("__a"), F.col("first_event_id").alias("__ea"))
     out = (preds.join(h, F.lower(preds["home"]) == h["__h"], "left")

@@ -400,10 +400,13 @@ def q_bet_budget(spark, sf):
 
 @query("bet_backtest")
 def q_bet_backtest(spark, sf):
-    """The full decision per alert: placed or the reason it was not."""
+    """The full decision per alert: placed or the reason it was not.
+
+    The decision columns ride through the budget fold, so the alert rows are
+    computed once."""
     rows = _backtest_rows(spark, sf)
-    fold = budget_fold(rows, "match_date", _BT_ORDER, BUDGET_INIT, _BT_KEYS)
-    j = rows.join(fold, ["match_date", *_BT_KEYS])
+    carry = _BT_KEYS + ["prediction", "side", "odd", "size", "true_odd", "skip_reason", "rule_reason"]
+    j = budget_fold(rows, "match_date", _BT_ORDER, BUDGET_INIT, carry)
     reason = (F.when(F.col("skip_reason").isNotNull(), F.col("skip_reason"))
                .when(F.col("budget_empty"), F.lit("no budget"))
                .when(F.col("rule_reason").isNotNull(), F.col("rule_reason")))
@@ -412,15 +415,6 @@ def q_bet_backtest(spark, sf):
                     reason.alias("reject_reason"))
 
 
-@query("sink_training")
-def q_sink_training(spark, sf):
-    """The processed training table written as parquet and read back."""
-    tr = prep_train(fx.as_raw(fx.hist(spark, sf)), "uo")
-    path = scratch_dir(spark, "training-uo")
-    fl.write_table(tr.table, path)
-    return spark.read.parquet(path)
-
-
 # ------------------------------------------------------------ priors
 from ..operators.encode import team_priors  # noqa: E402
 
