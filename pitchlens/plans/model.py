@@ -83,16 +83,22 @@ def _pipeline(features: list[str], label: str, params: dict) -> Pipeline:
 
 
 def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict | None = None) -> Model:
-    """M1 / M2 / M3."""
+    """M1 / M2 / M3.
+
+    EF: the three one-vs-rest labels are added to one table, which is
+    persisted once so the three fits do not recompute the preparation.
+    """
     params = params or {"maxIter": 10, "maxDepth": 3}
     if task == "uo":
         data = train.withColumn("__y", F.col("final_uo").cast("double"))
         return Model(task, features, [_pipeline(features, "__y", params).fit(data)])
     label = "final_ef" if "final_ef" in train.columns else "result"
-    models = []
-    for k in EF_CLASSES:
-        data = train.withColumn("__y", (F.col(label) == k).cast("double"))
-        models.append(_pipeline(features, "__y", params).fit(data))
+    data = train.select(*features, *[(F.col(label) == k).cast("double").alias(f"__y{k}")
+                                     for k in EF_CLASSES]).persist()
+    try:
+        models = [_pipeline(features, f"__y{k}", params).fit(data) for k in EF_CLASSES]
+    finally:
+        data.unpersist()
     return Model(task, features, models)
 
 
