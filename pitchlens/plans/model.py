@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.decide import argmax_first, decode_1x2
 from ..schema import KEY
 
-# The reference's search grids (xgboost names).
+# The original search grids (xgboost parameter names).
 GRID_UO = {
     "learning_rate": [0.05, 0.1, 0.15, 0.20, 0.3],
     "n_estimators": [200, 300, 500, 700],
