@@ -742,3 +742,22 @@ ORACLES["champion_gate"] = R(
       "AS previous_best, (max(accuracy) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL "
       "OR accuracy > max(accuracy) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS saved FROM runs",
     ["accuracy", "previous_best"])
+
+
+RULE_REASON = """CASE WHEN bet_type = 'uo' AND prediction = 'under' AND home_score + away_score >= 1 THEN 'too many goals'
+       WHEN bet_type = 'uo' AND prediction = 'under' AND minute < 45 THEN 'too early'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND home_score + away_score <= 1 THEN 'too few goals'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND minute > 45 THEN 'too late'
+       WHEN bet_type = 'ef' AND prediction = 'X' THEN 'draw'
+       WHEN bet_type = 'ef' AND prediction = '1' AND home_score <= away_score THEN 'team not in advantage'
+       WHEN bet_type = 'ef' AND prediction = '2' AND home_score >= away_score THEN 'team not in advantage' END"""
+ORACLES["bet_backtest"] = R("WITH RECURSIVE " + ",\n".join([*BET_BASE, SELS, QUOTES, BETS, BT]) + f"""
+SELECT r.match_date, r.id_partita, r.minute, r.bet_type, r.prediction, r.side, r.odd,
+  CAST(floor({STAKE_RAW}) AS DOUBLE) AS size,
+  CASE WHEN side = 'Back' THEN odd ELSE {STAKE_RAW} / 10e0 + 1e0 END AS true_odd,
+  w.h AS budget_high, w.l AS budget_low,
+  (r.eligible AND NOT ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0))) AS accepted,
+  CASE WHEN r.event_id IS NULL THEN 'no event' WHEN r.selection_id IS NULL THEN 'no market'
+       WHEN (r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0) THEN 'no budget'
+       ELSE {RULE_REASON} END AS reject_reason
+FROM brows r JOIN walk w ON r.match_date = w.match_date AND r.rn = w.rn""", ["odd", "size", "true_odd"])
