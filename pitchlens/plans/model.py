@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -86,7 +87,9 @@ def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict |
     """M1 / M2 / M3.
 
     EF: the three one-vs-rest labels are added to one table, which is
-    persisted once so the three fits do not recompute the preparation.
+    persisted once so the three fits do not recompute the preparation; the
+    three fits are submitted concurrently (as ``CrossValidator`` does with
+    ``parallelism``), so their many small tree-level jobs share the cluster.
     """
     params = params or {"maxIter": 10, "maxDepth": 3}
     if task == "uo":
@@ -96,7 +99,9 @@ def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict |
     data = train.select(*features, *[(F.col(label) == k).cast("double").alias(f"__y{k}")
                                      for k in EF_CLASSES]).persist()
     try:
-        models = [_pipeline(features, f"__y{k}", params).fit(data) for k in EF_CLASSES]
+        with ThreadPoolExecutor(max_workers=len(EF_CLASSES)) as pool:
+            models = list(pool.map(lambda k: _pipeline(features, f"__y{k}", params).fit(data),
+                                   EF_CLASSES))
     finally:
         data.unpersist()
     return Model(task, features, models)
