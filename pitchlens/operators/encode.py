@@ -52,17 +52,25 @@ def fit_and_encode(train: DataFrame, target_df: DataFrame, by: str, target: Colu
     return encode_category(target_df, smooth_mean(train, by, target, m), by)
 
 
-def one_hot(df: DataFrame, features: list[str]) -> DataFrame:
+# One-hot is for low-cardinality columns: the category list becomes the schema.
+MAX_ONE_HOT_CATEGORIES = 10_000
+
+
+def one_hot(df: DataFrame, features: list[str],
+            max_categories: int = MAX_ONE_HOT_CATEGORIES) -> DataFrame:
     """``<feature>_<value>`` 0/1 columns, smallest category dropped, originals kept.
 
     The category list defines the output schema, so it is read (distinct,
-    sorted, aggregated on the cluster) before planning; one-hot only suits
-    low-cardinality columns, which keeps that list small.
+    sorted, aggregated on the cluster) before planning.  At most
+    ``max_categories`` values are fetched; more raises, since such a column
+    needs a target encoding (:func:`smooth_mean`) instead.
     """
     extra = []
     for f in features:
         vals = [r[0] for r in df.select(f).where(F.col(f).isNotNull()).distinct()
-                .orderBy(f).collect()]
+                .orderBy(f).limit(max_categories + 1).collect()]
+        if len(vals) > max_categories:
+            raise ValueError(f"{f}: more than {max_categories} categories; use a target encoding")
         for v in vals[1:]:
             extra.append(F.when(F.col(f) == F.lit(v), 1).otherwise(0).alias(f"{f}_{v}"))
     return df.select("*", *extra)

@@ -168,7 +168,6 @@ def q_bet_stake(spark, sf):
 
 
 # ------------------------------------------------------------ files and tables
-from ..operators.clean import to_numeric  # noqa: E402
 from ..operators.latest import latest_per_match  # noqa: E402
 from ..session import scratch_dir  # noqa: E402
 from ..sources import files as fl  # noqa: E402

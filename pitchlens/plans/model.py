@@ -23,8 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.decide import argmax_first, decode_1x2
-from ..schema import KEY
+from ..functions.decide import argmax_first
 
 # The original search grids (xgboost parameter names).
 GRID_UO = {
@@ -180,9 +179,5 @@ def grid_size(grid: dict) -> int:
     return math.prod(len(v) for v in grid.values())
 
 
-def keep_cols(df: DataFrame) -> list[str]:
-    return [c for c in (KEY, "minute", "home", "away", "home_score", "away_score") if c in df.columns]
-
-
-__all__ = ["fit", "score", "save", "load", "sample_grid", "gbt_params", "feature_importance",
-           "decode_1x2", "Model"]
+__all__ = ["fit", "score", "save", "load", "sample_grid", "grid_size", "gbt_params",
+           "feature_importance", "Model"]

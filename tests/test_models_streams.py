@@ -35,3 +35,13 @@ def test_random_search_picks_one_best(spark, sf):
     rows = df.collect()
     assert len(rows) == 2
     assert sum(1 for r in rows if r["is_best"]) <= 1
+
+
+def test_fit_is_seed_stable(spark):
+    from pitchlens.plans import model as mdl
+    rows = [(float(i % 7), float(i % 3), (i * 7919) % 3 + 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, final_ef int")
+    p = {"maxIter": 3, "maxDepth": 2}
+    s1 = mdl.score(mdl.fit(df, ["a", "b"], "ef", p), df).select("probability_1").collect()
+    s2 = mdl.score(mdl.fit(df, ["a", "b"], "ef", p), df).select("probability_1").collect()
+    assert s1 == s2
