@@ -649,9 +649,10 @@ RESULTS = """results AS (
 ORACLES["backfill_outcomes"] = R(
     W(SNAP, HIST, LIVE, SAVED, RESULTS)
     + "SELECT s.* REPLACE ("
-      "CASE WHEN s.home_final_score IS NULL AND r.fixture_id IS NOT NULL THEN r.gh ELSE s.home_final_score END AS home_final_score, "
-      "CASE WHEN s.home_final_score IS NULL AND r.fixture_id IS NOT NULL THEN r.ga ELSE s.away_final_score END AS away_final_score) "
-      "FROM saved s LEFT JOIN (SELECT * FROM results WHERE status = 'Match Finished') r ON s.fixture_id = r.fixture_id",
+      "CASE WHEN r.fixture_id IS NOT NULL THEN r.gh ELSE s.home_final_score END AS home_final_score, "
+      "CASE WHEN r.fixture_id IS NOT NULL THEN r.ga ELSE s.away_final_score END AS away_final_score) "
+      "FROM saved s LEFT JOIN (SELECT * FROM results WHERE status = 'Match Finished' AND fixture_id IN "
+      "(SELECT fixture_id FROM saved WHERE home_final_score IS NULL)) r ON s.fixture_id = r.fixture_id",
     _SAVED_DBL)
 
 

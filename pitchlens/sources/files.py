@@ -104,16 +104,19 @@ def fixture_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backfill_outcomes(saved: DataFrame, results: DataFrame) -> DataFrame:
-    """Rows with an open outcome whose fixture is finished get both scores.
+    """A fixture with an open outcome whose result is 'Match Finished'
+    gets both final scores on all of its snapshots; a new table version.
 
-    A left join to the finished results (one row per fixture) and a
-    conditional overwrite; the new version of the table is the output.
+    Open fixtures (distinct ids, aggregated) are matched with the finished
+    results (one row per fixture) and joined back to the table.
     """
+    open_ids = saved.where(F.col("home_final_score").isNull()).select("fixture_id").distinct()
     done = (results.where(F.col("status") == FINISHED_STATUS)
+                   .join(open_ids, "fixture_id", "left_semi")
                    .select(F.col("fixture_id").alias("__fid"),
                            F.col("goalsHomeTeam").alias("__h"), F.col("goalsAwayTeam").alias("__a")))
     j = saved.join(done, saved["fixture_id"] == done["__fid"], "left")
-    fill = F.col("home_final_score").isNull() & F.col("__fid").isNotNull()
+    fill = F.col("__fid").isNotNull()
     return j.select(*[F.when(fill, F.col("__h")).otherwise(F.col(c)).cast("int").alias(c)
                       if c == "home_final_score" else
                       F.when(fill, F.col("__a")).otherwise(F.col(c)).cast("int").alias(c)

@@ -156,3 +156,17 @@ def test_budget_fold_equals_sequential(spark, sessions):
                 h, l = (h - 1, l) if tu == "high" else (h, l - 1)
                 if h + l == 0:
                     h, l = 1, 2
+
+
+def test_backfill_sets_all_snapshots_of_finished_open_fixtures(spark):
+    from pitchlens.sources.files import backfill_outcomes
+    saved = spark.createDataFrame(
+        [(1, 10, 0, 0), (1, 20, None, None), (2, 10, None, None), (3, 10, 1, 1)],
+        "fixture_id long, minute int, home_final_score int, away_final_score int")
+    results = spark.createDataFrame(
+        [(1, "Match Finished", 2, 1), (2, "Second Half", 0, 0), (3, "Match Finished", 5, 5)],
+        "fixture_id long, status string, goalsHomeTeam int, goalsAwayTeam int")
+    got = sorted(tuple(r) for r in backfill_outcomes(saved, results).collect())
+    # fixture 1 is open and finished: both rows rewritten; 2 is not finished;
+    # 3 has no open row, so it is left alone
+    assert got == [(1, 10, 2, 1), (1, 20, 2, 1), (2, 10, None, None), (3, 10, 1, 1)]
