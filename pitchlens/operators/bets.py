@@ -89,7 +89,7 @@ def match_event(preds: DataFrame, events: DataFrame) -> DataFrame:
 
     ``events`` as from :func:`event_table`; table order = ``event_id`` order.
     """
-    names = preds.select(F.lower("home").alias("name")).union(preds.select(F.lower("away").alias("name")))
+    names = preds.select(F.explode(F.array(F.lower("home"), F.lower("away"))).alias("name"))
     idx = first_event_by_name(events, names)
     h = idx.select(F.col("part").alias("__h"), F.col("first_event_id").alias("__eh"))
     a = idx.select(F.col("part").alias("__a"), F.col("first_event_id").alias("__ea"))
