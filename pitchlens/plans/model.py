@@ -76,13 +76,22 @@ class Model:
     models: list[PipelineModel] = field(default_factory=list)
 
 
-def _pipeline(features: list[str], label: str, params: dict) -> Pipeline:
+def _pipeline(features: list[str], label: str, params: dict, estimator=None) -> Pipeline:
+    """Assembler + classifier.  ``estimator`` (H3) is any spark.ml probabilistic
+    classifier; ``params`` are set on a copy of it by name.  Default: GBT."""
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=SEED, **params)
-    return Pipeline(stages=[va, gbt])
-
-
-def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict | None = None) -> Model:
+    if estimator is None:
+        clf = GBTClassifier(featuresCol="features", labelCol=label, seed=SEED, **params)
+    else:
+        extra = {estimator.getParam(k): v for k, v in params.items()}
+        extra[estimator.getParam("featuresCol")] = "features"
+        extra[estimator.getParam("labelCol")] = label
+        clf = estimator.copy(extra)
+    return Pipeline(stages=[va, clf])
+
+
+def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict | None = None,
+        estimator=None) -> Model:
     """M1 / M2 / M3.
 
     EF: the three one-vs-rest labels are added to one table, which is
@@ -90,17 +99,17 @@ def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict |
     three fits are submitted concurrently (as ``CrossValidator`` does with
     ``parallelism``), so their many small tree-level jobs share the cluster.
     """
-    params = params or {"maxIter": 10, "maxDepth": 3}
+    params = params or ({"maxIter": 10, "maxDepth": 3} if estimator is None else {})
     if task == "uo":
         data = train.withColumn("__y", F.col("final_uo").cast("double"))
-        return Model(task, features, [_pipeline(features, "__y", params).fit(data)])
+        return Model(task, features, [_pipeline(features, "__y", params, estimator).fit(data)])
     label = "final_ef" if "final_ef" in train.columns else "result"
     data = train.select(*features, *[(F.col(label) == k).cast("double").alias(f"__y{k}")
                                      for k in EF_CLASSES]).persist()
     try:
         with ThreadPoolExecutor(max_workers=len(EF_CLASSES)) as pool:
-            models = list(pool.map(lambda k: _pipeline(features, f"__y{k}", params).fit(data),
-                                   EF_CLASSES))
+            models = list(pool.map(
+                lambda k: _pipeline(features, f"__y{k}", params, estimator).fit(data), EF_CLASSES))
     finally:
         data.unpersist()
     return Model(task, features, models)

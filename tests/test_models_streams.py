@@ -45,3 +45,13 @@ def test_fit_is_seed_stable(spark):
     s1 = mdl.score(mdl.fit(df, ["a", "b"], "ef", p), df).select("probability_1").collect()
     s2 = mdl.score(mdl.fit(df, ["a", "b"], "ef", p), df).select("probability_1").collect()
     assert s1 == s2
+
+
+def test_fit_accepts_any_probabilistic_estimator(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pitchlens.plans import model as mdl
+    rows = [(float(i % 7), float(i % 3), (i * 7919) % 3 + 1, (i * 31) % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, final_ef int, final_uo int")
+    m = mdl.fit(df, ["a", "b"], "uo", {"maxIter": 5}, estimator=LogisticRegression())
+    r = mdl.score(m, df).agg(F.min("probability_over"), F.max("probability_over")).first()
+    assert 0 <= r[0] <= r[1] <= 1
