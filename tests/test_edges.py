@@ -170,3 +170,64 @@ def test_backfill_sets_all_snapshots_of_finished_open_fixtures(spark):
     # fixture 1 is open and finished: both rows rewritten; 2 is not finished;
     # 3 has no open row, so it is left alone
     assert got == [(1, 10, 2, 1), (1, 20, 2, 1), (2, 10, None, None), (3, 10, 1, 1)]
+
+
+def _brute_impute(donors, targets):
+    """Plain-Python statement of the bin rule: a target at minute t uses the
+    largest m in 5, 10, ..., 85 with m <= t <= m + 5; the value is the mean of
+    the home mean and the away mean over donors with both sides known and
+    m <= minute <= m + 5; with no bin the row is left as it is."""
+    out = []
+    for t, h, a in targets:
+        if h is not None and a is not None:
+            out.append((t, h, a))
+            continue
+        bins = [m for m in range(5, 90, 5) if m <= t <= m + 5]
+        if not bins:
+            out.append((t, h, a))
+            continue
+        m = bins[-1]
+        pool = [(dh, da) for dm, dh, da in donors if m <= dm <= m + 5 and dh is not None and da is not None]
+        if not pool:
+            out.append((t, None, None))
+            continue
+        v = (sum(p[0] for p in pool) / len(pool) + sum(p[1] for p in pool) / len(pool)) / 2
+        out.append((t, v, v))
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_impute_equals_brute_force(spark, seed):
+    rnd = random.Random(seed)
+
+    def val():
+        return None if rnd.random() < 0.3 else float(rnd.randint(0, 20))
+
+    donors = [(rnd.randint(0, 95), val(), val()) for _ in range(300)]
+    targets = [(i, val(), val()) for i in range(0, 96)] + [(rnd.randint(0, 95), val(), val()) for _ in range(100)]
+    schema = "minute int, home_tiri double, away_tiri double"
+    d = spark.createDataFrame(donors, schema)
+    tg = spark.createDataFrame([(i, *r) for i, r in enumerate(targets)], "rid int, " + schema)
+    got = {r["rid"]: (r["minute"], r["home_tiri"], r["away_tiri"])
+           for r in impute.apply_bin_means(tg, impute.bin_means(d)).collect()}
+    want = _brute_impute(donors, targets)
+    for i, w in enumerate(want):
+        g = got[i]
+        assert g[0] == w[0]
+        for x, y in zip(g[1:], w[1:]):
+            assert (x is None and y is None) or x == pytest.approx(y)
+
+
+def test_match_event_equals_brute_force(spark):
+    rnd = random.Random(7)
+    alphabet = "ab_1 "
+    teams = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 4))).strip() or "a" for _ in range(40)]
+    events = [(i, f"{rnd.choice(teams)} v {rnd.choice(teams)}") for i in range(60)]
+    preds = [(rnd.choice(teams), rnd.choice(teams)) for _ in range(80)]
+    ev = spark.createDataFrame(events, "event_id long, event_name string")
+    pr = spark.createDataFrame([(i, *p) for i, p in enumerate(preds)], "pid int, home string, away string")
+    got = {r["pid"]: r["event_id"] for r in match_event(pr, ev).collect()}
+    for i, (h, a) in enumerate(preds):
+        first_h = next((e for e, n in events if h.lower() in n), None)
+        first_a = next((e for e, n in events if a.lower() in n), None)
+        assert got[i] == (first_h if first_h is not None else first_a)
