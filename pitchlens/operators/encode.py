@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SMOOTHING_M
+from .joins import salted_join
 
 
 def smooth_mean(train: DataFrame, by: str, target: Column, m: float = SMOOTHING_M) -> DataFrame:
@@ -33,12 +34,13 @@ def encode_category(df: DataFrame, state: DataFrame, by: str, out: str | None =
 
     The state has one row per training category.  No broadcast hint: its
     size is not bounded by construction, so the planner / AQE decide from
-    the measured size (broadcast when small, shuffle join otherwise).
+    the measured size; a shuffle join is salted, so a category holding a
+    third of the rows does not land in one task.
     """
     out = out or by
     s = state.select(F.col(by).alias("__k"), "smooth")
     glob = state.agg(F.max("global_mean")).scalar()
-    j = df.join(s, df[by] == s["__k"], "left")
+    j = salted_join(df, s, [by], ["__k"], "left")
     val = F.coalesce(F.col("smooth"), glob).cast("double")
     cols = [val.alias(out) if c == out else F.col(c) for c in df.columns]
     if out not in df.columns:
@@ -90,25 +92,26 @@ def team_priors(train: DataFrame, test: DataFrame, order_cols: list[str],
 
     A league unseen in training takes the training mean.  A team absent from
     either the home or the away side of training takes the mean on both sides.
+    Per key one aggregate (first row by ``order_cols``) and one salted lookup
+    join; the training means are scalar subqueries.
     """
-    out = test
-    lp = first_prior(train, "campionato", league_col, order_cols)
+    lp = first_prior(train, "campionato", league_col, order_cols).withColumnRenamed("campionato", "__lk")
     lmean = train.agg(F.avg(league_col)).scalar()
-    out = (out.drop(league_col).join(lp, "campionato", "left")
-              .withColumn(league_col, F.coalesce(F.col(league_col), lmean).cast("double")))
+    out = (salted_join(test.drop(league_col), lp, ["campionato"], ["__lk"], "left").drop("__lk")
+           .withColumn(league_col, F.coalesce(F.col(league_col), lmean).cast("double")))
     home_teams = train.select(F.col("home").alias("__t")).distinct()
     away_teams = train.select(F.col("away").alias("__t")).distinct()
-    both = home_teams.join(away_teams, "__t", "left_semi").withColumn("__both", F.lit(True))
+    both = home_teams.join(away_teams, "__t", "left_semi")
     for side in ("home", "away"):
-        flag = both.withColumnRenamed("__both", f"__both_{side}")
-        out = out.join(flag, out[side] == flag["__t"], "left").drop("__t")
-        for tc in team_cols:
-            col = f"{side}_{tc}"
-            pri = first_prior(train, side, col, order_cols).withColumnRenamed(col, f"__p_{col}")
-            pmean = train.agg(F.avg(col)).scalar()
-            out = (out.drop(col).join(pri, side, "left")
-                      .withColumn(col, F.when(F.col(f"__both_{side}"), F.col(f"__p_{col}"))
-                                  .otherwise(pmean).cast("double"))
-                      .drop(f"__p_{col}"))
-        out = out.drop(f"__both_{side}")
+        cols = [f"{side}_{tc}" for tc in team_cols]
+        first = (train.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("__t"))
+                      .agg(F.min(F.struct(*order_cols, *[F.col(c).alias(f"__p_{c}") for c in cols])).alias("__r"))
+                      .select("__t", *[F.col(f"__r.__p_{c}").alias(f"__p_{c}") for c in cols]))
+        look = first.join(both, "__t", "left_semi")   # teams seen on both sides only
+        out = salted_join(out.drop(*cols), look, [side], ["__t"], "left")
+        for c in cols:
+            pmean = train.agg(F.avg(c)).scalar()
+            out = out.withColumn(c, F.when(F.col("__t").isNotNull(), F.col(f"__p_{c}"))
+                                 .otherwise(pmean).cast("double"))
+        out = out.drop("__t", *[f"__p_{c}" for c in cols])
     return out

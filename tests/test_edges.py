@@ -231,3 +231,13 @@ def test_match_event_equals_brute_force(spark):
         first_h = next((e for e, n in events if h.lower() in n), None)
         first_a = next((e for e, n in events if a.lower() in n), None)
         assert got[i] == (first_h if first_h is not None else first_a)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join_with_hot_key(spark, how):
+    from pitchlens.operators.joins import salted_join
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i % 50}", i) for i in range(600)], "k string, v int")
+    small = spark.createDataFrame([("hot", 1.5), ("k3", 2.5), ("zz", 9.0)], "sk string, x double")
+    got = sorted(tuple(r) for r in salted_join(big, small, ["k"], ["sk"], how, salts=8).collect())
+    want = sorted(tuple(r) for r in big.join(small, big["k"] == small["sk"], how).collect())
+    assert got == want
