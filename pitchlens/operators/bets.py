@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.odds import best_quote
-from .joins import salted_join
+from .joins import lookup_join
 from ..schema import (DEFAULT_BACK_PRICE, DEFAULT_LAY_PRICE, DEFAULT_SIZE, MARKET_1X2,
                       MARKET_UO, RUNNER_NAMES)
 
@@ -94,9 +94,9 @@ def match_event(preds: DataFrame, events: DataFrame) -> DataFrame:
     idx = first_event_by_name(events, names)
     h = idx.select(F.col("part").alias("__h"), F.col("first_event_id").alias("__eh"))
     a = idx.select(F.col("part").alias("__a"), F.col("first_event_id").alias("__ea"))
-    # salted lookups: a team named in a third of the predictions is spread out
+    # size-checked lookups (broadcast, else salted): a hot team is never one task
     p = preds.withColumns({"__lh": F.lower("home"), "__la": F.lower("away")})
-    out = salted_join(salted_join(p, h, ["__lh"], ["__h"], "left"), a, ["__la"], ["__a"], "left")
+    out = lookup_join(lookup_join(p, h, ["__lh"], ["__h"], "left"), a, ["__la"], ["__a"], "left")
     out = out.drop("__lh", "__la")
     return out.withColumn("event_id", F.coalesce("__eh", "__ea")).drop("__h", "__eh", "__a", "__ea")
 

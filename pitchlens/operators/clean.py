@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masks import goals, null_false
 from ..schema import API_MISSING_COLS, CAT_COLS, FINAL_COLS, KEY, LIVE_ODDS, PREMATCH_ODDS
-from .joins import salted_join
+from .joins import lookup_join
 
 
 def to_numeric(df: DataFrame, cat_cols=CAT_COLS) -> DataFrame:
@@ -85,12 +85,12 @@ def drop_over_rows(df: DataFrame) -> DataFrame:
 def drop_over_matches(df: DataFrame) -> DataFrame:
     """F5 (test, live): drop every row of a match that has any row at 3+ goals.
 
-    A left-anti join against the (aggregated) ids of such matches, salted so
-    that a match holding a third of the rows is spread over many tasks (AQE
-    may still broadcast the id set when it is small at run time).
+    A left-anti lookup join against the (aggregated) ids of such matches:
+    broadcast when the id set is small, salted beyond, so a match holding a
+    third of the rows is never one task.
     """
     bad = df.where(goals() >= 3).select(F.col(KEY).alias("__id")).distinct()
-    return salted_join(df, bad, [KEY], ["__id"], "left_anti")
+    return lookup_join(df, bad, [KEY], ["__id"], "left_anti")
 
 
 def dedupe_snapshots(df: DataFrame, order_col: str = "minute") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SMOOTHING_M
-from .joins import salted_join
+from .joins import lookup_join
 
 
 def smooth_mean(train: DataFrame, by: str, target: Column, m: float = SMOOTHING_M) -> DataFrame:
@@ -32,15 +32,14 @@ def total_goals_target() -> Column:
 def encode_category(df: DataFrame, state: DataFrame, by: str, out: str | None = None) -> DataFrame:
     """Replace ``by`` by its smoothed mean; unseen or null -> training mean.
 
-    The state has one row per training category.  No broadcast hint: its
-    size is not bounded by construction, so the planner / AQE decide from
-    the measured size; a shuffle join is salted, so a category holding a
-    third of the rows does not land in one task.
+    The state has one row per training category; its size is not bounded by
+    construction, so it is counted: broadcast when small, salted shuffle join
+    beyond, so a category holding a third of the rows never lands in one task.
     """
     out = out or by
     s = state.select(F.col(by).alias("__k"), "smooth")
     glob = state.agg(F.max("global_mean")).scalar()
-    j = salted_join(df, s, [by], ["__k"], "left")
+    j = lookup_join(df, s, [by], ["__k"], "left")
     val = F.coalesce(F.col("smooth"), glob).cast("double")
     cols = [val.alias(out) if c == out else F.col(c) for c in df.columns]
     if out not in df.columns:
@@ -92,12 +91,12 @@ def team_priors(train: DataFrame, test: DataFrame, order_cols: list[str],
 
     A league unseen in training takes the training mean.  A team absent from
     either the home or the away side of training takes the mean on both sides.
-    Per key one aggregate (first row by ``order_cols``) and one salted lookup
-    join; the training means are scalar subqueries.
+    Per key one aggregate (first row by ``order_cols``) and one size-checked
+    lookup join; the training means are scalar subqueries.
     """
     lp = first_prior(train, "campionato", league_col, order_cols).withColumnRenamed("campionato", "__lk")
     lmean = train.agg(F.avg(league_col)).scalar()
-    out = (salted_join(test.drop(league_col), lp, ["campionato"], ["__lk"], "left").drop("__lk")
+    out = (lookup_join(test.drop(league_col), lp, ["campionato"], ["__lk"], "left").drop("__lk")
            .withColumn(league_col, F.coalesce(F.col(league_col), lmean).cast("double")))
     home_teams = train.select(F.col("home").alias("__t")).distinct()
     away_teams = train.select(F.col("away").alias("__t")).distinct()
@@ -108,7 +107,7 @@ def team_priors(train: DataFrame, test: DataFrame, order_cols: list[str],
                       .agg(F.min(F.struct(*order_cols, *[F.col(c).alias(f"__p_{c}") for c in cols])).alias("__r"))
                       .select("__t", *[F.col(f"__r.__p_{c}").alias(f"__p_{c}") for c in cols]))
         look = first.join(both, "__t", "left_semi")   # teams seen on both sides only
-        out = salted_join(out.drop(*cols), look, [side], ["__t"], "left")
+        out = lookup_join(out.drop(*cols), look, [side], ["__t"], "left")
         for c in cols:
             pmean = train.agg(F.avg(c)).scalar()
             out = out.withColumn(c, F.when(F.col("__t").isNotNull(), F.col(f"__p_{c}"))

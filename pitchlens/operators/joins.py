@@ -36,3 +36,30 @@ def salted_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_key
     if how in ("left_semi", "left_anti"):
         return out.drop("__salt")
     return out.drop("__salt", "__salt_s")
+
+
+# A lookup side up to this many rows is broadcast (checked by counting it);
+# beyond it the join is a salted shuffle join.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def lookup_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys: list[str],
+                how: str = "left", max_rows: int = BROADCAST_MAX_ROWS, salts: int = SALTS) -> DataFrame:
+    """Join a large table to a lookup table: broadcast behind a size check,
+    salted shuffle join beyond it.
+
+    The lookup side is persisted and counted once (the count is the size
+    check and fills the cache the join then reads).  Up to ``max_rows`` it
+    is broadcast, so the large side is not shuffled at all; a larger lookup
+    side is joined with :func:`salted_join`, so a hot key cannot overload one
+    task either way.
+    """
+    small = small.persist()
+    if small.count() <= max_rows:
+        s = F.broadcast(small)
+        cond = None
+        for bk, sk in zip(big_keys, small_keys):
+            c = big[bk] == s[sk]
+            cond = c if cond is None else cond & c
+        return big.join(s, cond, how)
+    return salted_join(big, small, big_keys, small_keys, how, salts)

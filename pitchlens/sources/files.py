@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import fixtures as fx
 from ..operators.clean import nan_to_null
-from ..operators.joins import salted_join
+from ..operators.joins import lookup_join
 from ..schema import CAT_COLS, FINISHED_STATUS
 
 
@@ -116,7 +116,7 @@ def backfill_outcomes(saved: DataFrame, results: DataFrame) -> DataFrame:
                    .join(open_ids, "fixture_id", "left_semi")
                    .select(F.col("fixture_id").alias("__fid"),
                            F.col("goalsHomeTeam").alias("__h"), F.col("goalsAwayTeam").alias("__a")))
-    j = salted_join(saved, done, ["fixture_id"], ["__fid"], "left")
+    j = lookup_join(saved, done, ["fixture_id"], ["__fid"], "left")
     fill = F.col("__fid").isNotNull()
     return j.select(*[F.when(fill, F.col("__h")).otherwise(F.col(c)).cast("int").alias(c)
                       if c == "home_final_score" else

@@ -241,3 +241,14 @@ def test_salted_join_equals_plain_join_with_hot_key(spark, how):
     got = sorted(tuple(r) for r in salted_join(big, small, ["k"], ["sk"], how, salts=8).collect())
     want = sorted(tuple(r) for r in big.join(small, big["k"] == small["sk"], how).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("max_rows", [0, 1000])
+def test_lookup_join_both_paths(spark, max_rows):
+    from pitchlens.operators.joins import lookup_join
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i % 50}", i) for i in range(300)], "k string, v int")
+    small = spark.createDataFrame([("hot", 1.5), ("k3", 2.5)], "sk string, x double")
+    for how in ("left", "left_anti"):
+        got = sorted(tuple(r) for r in lookup_join(big, small, ["k"], ["sk"], how, max_rows=max_rows).collect())
+        want = sorted(tuple(r) for r in big.join(small, big["k"] == small["sk"], how).collect())
+        assert got == want
