@@ -168,3 +168,32 @@ _s, _ = test_sql("uo")
 PREP_ORACLES["join_truth"] = (_s.rsplit("SELECT * EXCLUDE", 1)[0]
                               + "SELECT id_partita, minute, final_uo FROM te_prob")
 PREP_ORACLES["sink_training"] = PREP_ORACLES["prep_train_uo"]
+
+
+# ------------------------------------------------------------ result variant
+def result_train_ctes() -> list[str]:
+    cols = [c for c in BASE]
+    ctes = [SNAP, HIST, _num("hist", "rs_num", cols)]
+    ctes += _clean("rs_num", "rs", cols, ["home_final_score", "away_final_score", "id_partita"], None)
+    ctes.append(bin_means_sql("rs_key", IMP, "rs_bm"))
+    imp, _ = impute_sql("rs_key", "rs_bm", IMP, True, "rs_imp")
+    ctes.append(imp)
+    ctes.append(f"rs_cl AS (SELECT * FROM rs_imp WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)})")
+    ctes.append(f"rs_final AS (SELECT *, {LABEL['ef']} AS result, (home_score - away_score) * minute AS "
+                "result_strongness FROM rs_cl)")
+    return ctes
+
+
+_RDBL = [c for c in BASE if c in NUM] + ["result_strongness"]
+PREP_ORACLES["prep_train_result"] = R(W(*result_train_ctes()) + "SELECT * FROM rs_final", _RDBL)
+_lcols = [c for c in RAW_LIVE if c not in ("home_final_score", "away_final_score")]
+_lctes = result_train_ctes() + [LIVE, _num("live", "rl_num", _lcols)]
+_lctes += _clean("rl_num", "rl", _lcols, ["id_partita"], None)
+_lctes.append(_sent("rl_key", "rl_sent"))
+_lctes.append(bin_means_sql("rs_final", IMP, "rl_bm"))
+_imp, _ = impute_sql("rl_sent", "rl_bm", IMP, True, "rl_imp")
+_lctes.append(_imp)
+_lctes.append(f"rl_cl AS (SELECT * FROM rl_imp WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _lcols)})")
+PREP_ORACLES["prep_live_result"] = R(
+    W(*_lctes) + "SELECT *, (home_score - away_score) * minute AS result_strongness FROM rl_cl",
+    [c for c in _lcols if c in NUM] + ["result_strongness"])

@@ -477,3 +477,21 @@ def q_sink_training(spark, sf):
     path = scratch_dir(spark, "training-uo")
     fl.write_table(tr.table, path)
     return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------ result variant
+from ..operators.clean import to_numeric  # noqa: E402
+from .preprocess import prep_live_result, prep_train_result  # noqa: E402
+
+
+@query("prep_train_result")
+def q_prep_train_result(spark, sf):
+    """M14 result variant on the training matches."""
+    return prep_train_result(fx.as_raw(fx.hist(spark, sf)))
+
+
+@query("prep_live_result")
+def q_prep_live_result(spark, sf):
+    """M16 result variant: scoring matches prepared against the training table."""
+    tr = prep_train_result(fx.as_raw(fx.hist(spark, sf)))
+    return prep_live_result(to_numeric(fx.as_raw(fx.live(spark, sf))), tr)

@@ -113,3 +113,24 @@ def feature_cols(df: DataFrame, task: str = "uo") -> list[str]:
             "live_odd_under", "probability_over", "probability_1", "probability_X",
             "probability_2"}
     return [c for c in df.columns if c not in skip]
+
+
+def prep_train_result(raw: DataFrame, cat_cols=CAT_COLS) -> DataFrame:
+    """M14 (result variant): odds dropped, P1, dedupe, sparse rows, missing
+    finals / id, bin imputation, ``result`` label (1/2/3), goal difference x
+    minute; no category encoding."""
+    df = clean.drop_odds_cols(raw)
+    df = clean.to_numeric(df, cat_cols)
+    df = _drop_nan(df, ["home_final_score", "away_final_score", KEY], None)
+    df = impute(df)
+    df = add_outcome_ef(df, "result")
+    return add_input_cols_ef(df, with_goals=False)
+
+
+def prep_live_result(live: DataFrame, train: DataFrame) -> DataFrame:
+    """M16 (result variant): finals dropped if present, dedupe, sparse rows,
+    missing id, imputation from the training table, goal difference x minute."""
+    df = clean.drop_outcome_cols(live)
+    df = _drop_nan(df, [KEY], None)
+    df = impute(df, donors=train)
+    return add_input_cols_ef(df, with_goals=False)
