@@ -70,7 +70,8 @@ def first_event_by_name(events: DataFrame, names: DataFrame) -> DataFrame:
     is taken per name with partial aggregation.  Work is linear in the events,
     never events x predictions.
     """
-    wanted = names.select(F.col("name").alias("part")).where(F.col("part").isNotNull()).distinct()
+    # the distinct wanted names are read twice (lengths, semi-join): keep them
+    wanted = names.select(F.col("name").alias("part")).where(F.col("part").isNotNull()).distinct().persist()
     lengths = sorted(r[0] for r in wanted.select(F.length("part")).distinct().collect())
     if not lengths:
         return wanted.select("part", F.lit(None).cast("long").alias("first_event_id")).where(F.lit(False))
@@ -91,7 +92,7 @@ def match_event(preds: DataFrame, events: DataFrame) -> DataFrame:
     ``events`` as from :func:`event_table`; table order = ``event_id`` order.
     """
     names = preds.select(F.explode(F.array(F.lower("home"), F.lower("away"))).alias("name"))
-    idx = first_event_by_name(events, names)
+    idx = first_event_by_name(events, names).persist()   # one index, two lookups
     h = idx.select(F.col("part").alias("__h"), F.col("first_event_id").alias("__eh"))
     a = idx.select(F.col("part").alias("__a"), F.col("first_event_id").alias("__ea"))
     # size-checked lookups (broadcast, else salted): a hot team is never one task

@@ -88,15 +88,17 @@ def budget_fold(bets: DataFrame, session: str, order: list[str], init: dict,
                           .orderBy(session, *order)
                           .withColumn("__chunk", F.spark_partition_id())
                           .withColumn("__seq", F.monotonically_increasing_id()))
-    row = F.struct("__seq", *cols)
+    # one grouping of the sorted rows per (session, chunk) serves phases 1
+    # and 3: the same plan appears twice in the final query, so Spark's
+    # exchange reuse shuffles the rows once
+    payload = F.struct("__seq", *cols, *[F.col(k) for k in keys if k != session])
+    grouped = ordered.groupBy(session, "__chunk").agg(F.array_sort(F.collect_list(payload)).alias("rows"))
 
     # phase 1: composed function per (session, chunk)
     def compose(acc, r):
         return F.transform(acc, lambda s: _step(sp, s, r)[0])
 
-    rows_by_chunk = ordered.groupBy(session, "__chunk").agg(
-        F.array_sort(F.collect_list(row)).alias("rows"))
-    chunk_fn = rows_by_chunk.select(session, "__chunk", F.aggregate("rows", states, compose).alias("fn"))
+    chunk_fn = grouped.select(session, "__chunk", F.aggregate("rows", states, compose).alias("fn"))
 
     # phase 2: start state per chunk, folding chunk functions in order
     per_session = chunk_fn.groupBy(session).agg(
@@ -113,9 +115,7 @@ def budget_fold(bets: DataFrame, session: str, order: list[str], init: dict,
         session, F.col("x.c").alias("__chunk"), F.col("x.s").alias("__start"))
 
     # phase 3: replay each chunk from its start state
-    payload = F.struct("__seq", *cols, *[F.col(k) for k in keys if k != session])
-    replay_in = ordered.groupBy(session, "__chunk").agg(
-        F.array_sort(F.collect_list(payload)).alias("rows")).join(starts, [session, "__chunk"])
+    replay_in = grouped.join(starts, [session, "__chunk"])
     out_t = "array<struct<seq:bigint,before:int,accepted:boolean,empty:boolean>>"
     z = F.struct(F.col("__start").alias("cur"), F.array().cast(out_t).alias("out"))
 
