@@ -252,3 +252,37 @@ def test_lookup_join_both_paths(spark, max_rows):
         got = sorted(tuple(r) for r in lookup_join(big, small, ["k"], ["sk"], how, max_rows=max_rows).collect())
         want = sorted(tuple(r) for r in big.join(small, big["k"] == small["sk"], how).collect())
         assert got == want
+
+
+def test_stake_and_rules_hand_computed(spark):
+    from pitchlens.operators import bets as bt
+    df = spark.createDataFrame(
+        [("Back", 2.5, 4.0), ("Back", 2.5, 50.0), ("Lay", 1.5, 100.0), ("Lay", 3.0, 3.0)],
+        "side string, odd double, avail double")
+    size, true_odd = bt.stake(F.col("side"), F.col("odd"), F.col("avail"), 10.0)
+    got = [tuple(r) for r in df.select(size, true_odd).collect()]
+    # back: min(avail, bet); lay: min(avail, ceil(bet / (odd - 1))), risk odd before the floor
+    assert got == [(4.0, 2.5), (10.0, 2.5), (20.0, 3.0), (3.0, 1.3)]
+    rules = spark.createDataFrame(
+        [("uo", "under", 0, 0, 50), ("uo", "under", 1, 0, 50), ("uo", "under", 0, 0, 40),
+         ("uo", "over", 2, 0, 30), ("uo", "over", 1, 0, 30), ("uo", "over", 2, 1, 60),
+         ("ef", "X", 0, 0, 10), ("ef", "1", 1, 0, 10), ("ef", "1", 1, 1, 10), ("ef", "2", 0, 1, 10)],
+        "bt string, p string, h int, a int, m int")
+    reasons = [r[0] for r in rules.select(bt.rule_reject(F.col("bt"), F.col("p"), F.col("h"), F.col("a"),
+                                                         F.col("m"))).collect()]
+    assert reasons == [None, "too many goals", "too early", None, "too few goals", "too late",
+                       "draw", None, "team not in advantage", None]
+    tiers = [r[0] for r in spark.createDataFrame([(3.5,), (3.0,)], "o double")
+             .select(bt.risk_tier(F.col("o"), 3.0)).collect()]
+    assert tiers == ["high", "low"]
+
+
+def test_odds_payload_defaults_and_last_label_wins(spark):
+    from pitchlens.sources.payloads import parse_odds_uo
+    doc = ('{"api": {"odds": [{"bookmakers": [{"bets": [{"values": ['
+           '{"value": "Over 2.5", "odd": "1.9"}, {"value": "Over 1.5", "odd": "1.2"}, '
+           '{"value": "Over 2.5", "odd": "2.05"}]}]}, {"bets": [{"values": [{"value": "Under 2.5", "odd": "9"}]}]}]}]}}')
+    df = spark.createDataFrame([("a", 1, doc), ("b", 2, '{"api": {}}')], "id_partita string, minute int, payload string")
+    got = {r["id_partita"]: (r["odd_over"], r["odd_under"]) for r in parse_odds_uo(df).collect()}
+    assert got["a"] == (2.05, 0.0)     # later duplicate wins; second bookmaker ignored
+    assert got["b"] == (0.0, 0.0)      # no odds offered: 0 = missing
