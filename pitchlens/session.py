@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,15 +40,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def _shared_base(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Read from the session (and the context's checkpoint dir); only where it
-    is unset -- local tests -- a folder is made under the local temp dir.
+    Read from the session (and the context's checkpoint dir).  Only a local
+    session, whose executors share the driver's disk, may run without it and
+    then gets a folder of its own, removed when the interpreter ends; on a
+    cluster a missing setting raises, because executors would write to disks
+    that no other executor sees.
     """
     sc = spark.sparkContext
     base = (sc.getCheckpointDir()
             or spark.conf.get("spark.checkpoint.dir", None)
             or sc.getConf().get("spark.checkpoint.dir", None))
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="pitchlens-ckpt-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -57,13 +65,7 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     return f"{_shared_base(spark)}/{name or 'tmp'}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``DataFrame.checkpoint()`` writes to the shared folder."""
-    _shared_base(spark)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialize(df):
+def materialize(df, name: str = "table"):
     """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint
     folder and continue from the written copy.
 
@@ -72,6 +74,6 @@ def materialize(df):
     statistics the planner can use for the next joins.
     """
     spark = df.sparkSession
-    path = scratch_dir(spark, "table")
+    path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
