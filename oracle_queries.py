@@ -599,13 +599,13 @@ ORACLES["bet_side"] = (W(*BET_BASE) + "SELECT id_partita, minute, bet_type, pred
 ORACLES["risk_tier"] = R(W(*BET_BASE, SELS, QUOTES, BETS) + "SELECT id_partita, minute, bet_type, odd, "
                          "CASE WHEN odd > 3e0 THEN 'high' ELSE 'low' END AS tier FROM bets", ["odd"])
 ORACLES["bet_rules"] = (W(*BET_BASE) + """SELECT id_partita, minute, bet_type, prediction,
-  CASE WHEN bet_type = 'uo' AND prediction = 'under' AND home_score + away_score >= 1 THEN 'too many goals'
-       WHEN bet_type = 'uo' AND prediction = 'under' AND minute < 45 THEN 'too early'
-       WHEN bet_type = 'uo' AND prediction = 'over' AND home_score + away_score <= 1 THEN 'too few goals'
-       WHEN bet_type = 'uo' AND prediction = 'over' AND minute > 45 THEN 'too late'
+  CASE WHEN bet_type = 'uo' AND prediction = 'under' AND home_score + away_score >= 1 THEN 'under_scored'
+       WHEN bet_type = 'uo' AND prediction = 'under' AND minute < 45 THEN 'under_first_half'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND home_score + away_score <= 1 THEN 'over_low_score'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND minute > 45 THEN 'over_second_half'
        WHEN bet_type = 'ef' AND prediction = 'X' THEN 'draw'
-       WHEN bet_type = 'ef' AND prediction = '1' AND home_score <= away_score THEN 'team not in advantage'
-       WHEN bet_type = 'ef' AND prediction = '2' AND home_score >= away_score THEN 'team not in advantage'
+       WHEN bet_type = 'ef' AND prediction = '1' AND home_score <= away_score THEN 'not_leading'
+       WHEN bet_type = 'ef' AND prediction = '2' AND home_score >= away_score THEN 'not_leading'
   END AS reject_reason FROM alerts_t""")
 STAKE_RAW = ("CASE WHEN side = 'Back' THEN least(size_available, 10e0) "
              "ELSE least(size_available, CAST(ceil(10e0 / (odd - 1e0)) AS DOUBLE)) END")
@@ -678,28 +678,34 @@ BT = f"""bt AS (
     OR (bet_type = 'ef' AND prediction = '1' AND home_score <= away_score)
     OR (bet_type = 'ef' AND prediction = '2' AND home_score >= away_score))) AS eligible
   FROM bets b JOIN (SELECT DISTINCT id_partita, match_date FROM snap) d ON b.id_partita = d.id_partita),
+bal AS (
+  SELECT *, (CAST(id_partita AS BIGINT) + 7 * minute) % 40 + 65 AS bal_before, (CAST(id_partita AS BIGINT) + 11 * minute) % 40 + 65 AS bal_after FROM bt),
 brows AS (
-  SELECT *, row_number() OVER (PARTITION BY match_date ORDER BY minute, id_partita, bet_type) AS rn FROM bt),
+  SELECT *, bal_before + 30 > 100 AS ex, bal_before > 100 AS up, bal_after + 30 > 100 AS ex_after,
+    row_number() OVER (PARTITION BY match_date ORDER BY minute, id_partita, bet_type) AS rn FROM bal),
 walk AS (
-  SELECT match_date, CAST(1 AS BIGINT) AS rn, 1 AS h, 2 AS l FROM (SELECT DISTINCT match_date FROM brows)
+  SELECT match_date, CAST(1 AS BIGINT) AS rn, 1 AS h0, 2 AS l0 FROM (SELECT DISTINCT match_date FROM brows)
   UNION ALL
   SELECT match_date, rn + 1,
-    CASE WHEN ok AND h2 + l2 = 0 THEN 1 ELSE h2 END,
-    CASE WHEN ok AND h2 + l2 = 0 THEN 2 ELSE l2 END
+    CASE WHEN ok AND ex_after AND h2 + l2 = 0 THEN 1 ELSE h2 END,
+    CASE WHEN ok AND ex_after AND h2 + l2 = 0 THEN 2 ELSE l2 END
   FROM (
-    SELECT w.match_date, w.rn, ok,
-      w.h - CASE WHEN ok AND r.tier_use = 'high' THEN 1 ELSE 0 END AS h2,
-      w.l - CASE WHEN ok AND r.tier_use = 'low' THEN 1 ELSE 0 END AS l2
-    FROM walk w JOIN (
-      SELECT b.*, 0 AS dummy FROM brows b) r ON r.match_date = w.match_date AND r.rn = w.rn
-    CROSS JOIN LATERAL (SELECT r.eligible AND NOT ((r.tier_check = 'high' AND w.h = 0)
-                                                   OR (r.tier_check = 'low' AND w.l = 0)) AS ok) o
-  ) step)"""
-ORACLES["bet_budget"] = ("WITH RECURSIVE " + ",\n".join([*BET_BASE, SELS, QUOTES, BETS, BT]) + """
-SELECT r.match_date, r.id_partita, r.minute, r.bet_type, w.h AS budget_high, w.l AS budget_low,
-  ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0)) AS budget_empty,
-  (r.eligible AND NOT ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0))) AS accepted
-FROM brows r JOIN walk w ON r.match_date = w.match_date AND r.rn = w.rn""")
+    SELECT w.match_date, w.rn, ok, r.ex_after,
+      w1.h - CASE WHEN ok AND r.tier_use = 'high' THEN 1 ELSE 0 END AS h2,
+      w1.l - CASE WHEN ok AND r.tier_use = 'low' THEN 1 ELSE 0 END AS l2
+    FROM walk w JOIN brows r ON r.match_date = w.match_date AND r.rn = w.rn
+    CROSS JOIN LATERAL (SELECT CASE WHEN r.ex AND r.up THEN 1 ELSE w.h0 END AS h, CASE WHEN r.ex AND r.up THEN 2 ELSE w.l0 END AS l) w1
+    CROSS JOIN LATERAL (SELECT r.ex AND r.eligible AND NOT ((r.tier_check = 'high' AND w1.h = 0)
+                                                   OR (r.tier_check = 'low' AND w1.l = 0)) AS ok) o
+  ) step),
+decided AS (
+  SELECT r.*, CASE WHEN r.ex AND r.up THEN 1 ELSE w.h0 END AS h, CASE WHEN r.ex AND r.up THEN 2 ELSE w.l0 END AS l
+  FROM brows r JOIN walk w ON r.match_date = w.match_date AND r.rn = w.rn)"""
+BUDGET_EMPTY = "((tier_check = 'high' AND h = 0) OR (tier_check = 'low' AND l = 0))"
+ORACLES["bet_budget"] = ("WITH RECURSIVE " + ",\n".join([*BET_BASE, SELS, QUOTES, BETS, BT]) + f"""
+SELECT match_date, id_partita, minute, bet_type, h AS budget_high, l AS budget_low, {BUDGET_EMPTY} AS budget_empty,
+  ex AND eligible AND NOT {BUDGET_EMPTY} AS accepted
+FROM decided""")
 
 
 # ------------------------------------------------------------ priors
@@ -745,20 +751,19 @@ ORACLES["champion_gate"] = R(
     ["accuracy", "previous_best"])
 
 
-RULE_REASON = """CASE WHEN bet_type = 'uo' AND prediction = 'under' AND home_score + away_score >= 1 THEN 'too many goals'
-       WHEN bet_type = 'uo' AND prediction = 'under' AND minute < 45 THEN 'too early'
-       WHEN bet_type = 'uo' AND prediction = 'over' AND home_score + away_score <= 1 THEN 'too few goals'
-       WHEN bet_type = 'uo' AND prediction = 'over' AND minute > 45 THEN 'too late'
+RULE_REASON = """CASE WHEN bet_type = 'uo' AND prediction = 'under' AND home_score + away_score >= 1 THEN 'under_scored'
+       WHEN bet_type = 'uo' AND prediction = 'under' AND minute < 45 THEN 'under_first_half'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND home_score + away_score <= 1 THEN 'over_low_score'
+       WHEN bet_type = 'uo' AND prediction = 'over' AND minute > 45 THEN 'over_second_half'
        WHEN bet_type = 'ef' AND prediction = 'X' THEN 'draw'
-       WHEN bet_type = 'ef' AND prediction = '1' AND home_score <= away_score THEN 'team not in advantage'
-       WHEN bet_type = 'ef' AND prediction = '2' AND home_score >= away_score THEN 'team not in advantage' END"""
+       WHEN bet_type = 'ef' AND prediction = '1' AND home_score <= away_score THEN 'not_leading'
+       WHEN bet_type = 'ef' AND prediction = '2' AND home_score >= away_score THEN 'not_leading' END"""
 ORACLES["bet_backtest"] = R("WITH RECURSIVE " + ",\n".join([*BET_BASE, SELS, QUOTES, BETS, BT]) + f"""
-SELECT r.match_date, r.id_partita, r.minute, r.bet_type, r.prediction, r.side, r.odd,
+SELECT match_date, id_partita, minute, bet_type, prediction, side, odd,
   CAST(floor({STAKE_RAW}) AS DOUBLE) AS size,
   CASE WHEN side = 'Back' THEN odd ELSE {STAKE_RAW} / 10e0 + 1e0 END AS true_odd,
-  w.h AS budget_high, w.l AS budget_low,
-  (r.eligible AND NOT ((r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0))) AS accepted,
-  CASE WHEN r.event_id IS NULL THEN 'no event' WHEN r.selection_id IS NULL THEN 'no market'
-       WHEN (r.tier_check = 'high' AND w.h = 0) OR (r.tier_check = 'low' AND w.l = 0) THEN 'no budget'
+  h AS budget_high, l AS budget_low, ex AND eligible AND NOT {BUDGET_EMPTY} AS accepted,
+  CASE WHEN NOT ex THEN 'no exposure' WHEN event_id IS NULL THEN 'no event' WHEN selection_id IS NULL THEN 'no market'
+       WHEN {BUDGET_EMPTY} THEN 'no budget'
        ELSE {RULE_REASON} END AS reject_reason
-FROM brows r JOIN walk w ON r.match_date = w.match_date AND r.rn = w.rn""", ["odd", "size", "true_odd"])
+FROM decided""", ["odd", "size", "true_odd"])

@@ -70,18 +70,15 @@ def first_event_by_name(events: DataFrame, names: DataFrame) -> DataFrame:
     is taken per name with partial aggregation.  Work is linear in the events,
     never events x predictions.
     """
-    # the distinct wanted names are read twice (lengths, semi-join): keep them
-    wanted = names.select(F.col("name").alias("part")).where(F.col("part").isNotNull()).distinct().persist()
-    lengths = sorted(r[0] for r in wanted.select(F.length("part")).distinct().collect())
-    if not lengths:
-        return wanted.select("part", F.lit(None).cast("long").alias("first_event_id")).where(F.lit(False))
+    wanted = names.select(F.col("name").alias("part")).where(F.col("part").isNotNull()).distinct()
+    lengths = wanted.agg(F.collect_set(F.length("part"))).scalar()   # a few numbers, read when the plan runs
+    # the first event of each name, before any name is cut: names repeat far more than they differ
+    own = events.groupBy("event_name").agg(F.min("event_id").alias("event_id"))
     n = F.length("event_name")
-    starts = events.select("event_id", "event_name",
-                           F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("start"))
-    cuts = starts.select("event_id", "event_name", "start",
-                         F.explode(F.array(*[F.lit(x) for x in lengths])).alias("len"))
-    cuts = cuts.where(F.col("start") + F.col("len") - 1 <= F.length("event_name"))
-    parts = cuts.select("event_id", F.substring(F.col("event_name"), F.col("start"), F.col("len")).alias("part"))
+    starts = own.select("event_id", "event_name", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("start"))
+    cuts = starts.select("event_id", "event_name", "start", F.explode(lengths).alias("len"))
+    cuts = cuts.where(F.col("start") + F.col("len") - 1 <= n)
+    parts = cuts.groupBy(F.expr("substring(event_name, start, len)").alias("part")).agg(F.min("event_id").alias("event_id"))
     hits = parts.join(wanted, "part", "left_semi")
     return hits.groupBy("part").agg(F.min("event_id").alias("first_event_id"))
 
@@ -92,10 +89,9 @@ def match_event(preds: DataFrame, events: DataFrame) -> DataFrame:
     ``events`` as from :func:`event_table`; table order = ``event_id`` order.
     """
     names = preds.select(F.explode(F.array(F.lower("home"), F.lower("away"))).alias("name"))
-    idx = first_event_by_name(events, names).persist()   # one index, two lookups
+    idx = first_event_by_name(events, names)
     h = idx.select(F.col("part").alias("__h"), F.col("first_event_id").alias("__eh"))
     a = idx.select(F.col("part").alias("__a"), F.col("first_event_id").alias("__ea"))
-    # size-checked lookups (broadcast, else salted): a hot team is never one task
     p = preds.withColumns({"__lh": F.lower("home"), "__la": F.lower("away")})
     out = lookup_join(lookup_join(p, h, ["__lh"], ["__h"], "left"), a, ["__la"], ["__a"], "left")
     out = out.drop("__lh", "__la")
@@ -148,15 +144,15 @@ def rule_reject(bet_type: Column, prediction: Column, home_score: Column, away_s
                 minute: Column) -> Column:
     """Reason a bet is refused by the match-state rules (null = allowed)."""
     goals = home_score + away_score
-    return (F.when((bet_type == "uo") & (prediction == "under") & (goals >= 1), F.lit("too many goals"))
-             .when((bet_type == "uo") & (prediction == "under") & (minute < 45), F.lit("too early"))
-             .when((bet_type == "uo") & (prediction == "over") & (goals <= 1), F.lit("too few goals"))
-             .when((bet_type == "uo") & (prediction == "over") & (minute > 45), F.lit("too late"))
+    return (F.when((bet_type == "uo") & (prediction == "under") & (goals >= 1), F.lit("under_scored"))
+             .when((bet_type == "uo") & (prediction == "under") & (minute < 45), F.lit("under_first_half"))
+             .when((bet_type == "uo") & (prediction == "over") & (goals <= 1), F.lit("over_low_score"))
+             .when((bet_type == "uo") & (prediction == "over") & (minute > 45), F.lit("over_second_half"))
              .when((bet_type == "ef") & (prediction == "X"), F.lit("draw"))
              .when((bet_type == "ef") & (prediction == "1") & (home_score <= away_score),
-                   F.lit("team not in advantage"))
+                   F.lit("not_leading"))
              .when((bet_type == "ef") & (prediction == "2") & (home_score >= away_score),
-                   F.lit("team not in advantage")))
+                   F.lit("not_leading")))
 
 
 def stake(side: Column, odd: Column, size_available: Column, bet_size: Column | float):

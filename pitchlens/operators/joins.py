@@ -1,13 +1,11 @@
-"""Skew-safe equi-joins of a large table to a small lookup table.
-
-A key may hold a third of all rows (one league, one match, one team).  A
-plain shuffle join sends all of them to one task; AQE can split such a
-partition at run time, but only where it is enabled.  Salting makes the join
-skew-proof by construction: each large-side row gets a salt in ``[0, n)``
-computed from its own content (deterministic, so a recomputed task after an
-executor loss gets the same salt), and the lookup side is replicated once per
-salt, which is cheap because it is the small side.  A hot key is then spread
-over ``n`` tasks.  Result rows are exactly those of the unsalted join.
+"""Equi-joins of a large table to a lookup table.
+
+A plain join: the optimizer broadcasts the lookup side where statistics or, at
+run time, the finished shuffle show that it is small, and splits the partitions
+of a hot key otherwise (adaptive skew join), whose rows then meet copies of the
+lookup side's partition.  Nothing is counted, cached or run while planning.
+:func:`salted_join` splits hot keys by construction, for sessions without
+adaptive execution.
 """
 
 from __future__ import annotations
@@ -24,7 +22,8 @@ def salted_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_key
 
     ``how``: 'inner', 'left', 'left_semi' or 'left_anti' (the large side is
     the left side).  Key columns of ``small`` keep their names, as in a
-    column-expression join.
+    column-expression join.  The salt comes from the row's content, so a
+    recomputed task deals its rows as before.
     """
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
     b = big.withColumn("__salt", salt)
@@ -38,28 +37,11 @@ def salted_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_key
     return out.drop("__salt", "__salt_s")
 
 
-# A lookup side up to this many rows is broadcast (checked by counting it);
-# beyond it the join is a salted shuffle join.
-BROADCAST_MAX_ROWS = 200_000
-
-
 def lookup_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys: list[str],
-                how: str = "left", max_rows: int = BROADCAST_MAX_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join a large table to a lookup table: broadcast behind a size check,
-    salted shuffle join beyond it.
-
-    The lookup side is persisted and counted once (the count is the size
-    check and fills the cache the join then reads).  Up to ``max_rows`` it
-    is broadcast, so the large side is not shuffled at all; a larger lookup
-    side is joined with :func:`salted_join`, so a hot key cannot overload one
-    task either way.
-    """
-    small = small.persist()
-    if small.count() <= max_rows:
-        s = F.broadcast(small)
-        cond = None
-        for bk, sk in zip(big_keys, small_keys):
-            c = big[bk] == s[sk]
-            cond = c if cond is None else cond & c
-        return big.join(s, cond, how)
-    return salted_join(big, small, big_keys, small_keys, how, salts)
+                how: str = "left") -> DataFrame:
+    """``big JOIN small ON big_keys = small_keys``, planned by size and skew at run time."""
+    cond = None
+    for bk, sk in zip(big_keys, small_keys):
+        c = big[bk] == small[sk]
+        cond = c if cond is None else cond & c
+    return big.join(small, cond, how)

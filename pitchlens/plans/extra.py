@@ -373,6 +373,9 @@ _BT_KEYS = [KEY, "minute", "bet_type"]
 _BT_ORDER = ["minute", KEY, "bet_type"]   # within a trading day: match minute, then match, then market
 
 
+START_BALANCE = 100.0
+
+
 def _backtest_rows(spark, sf):
     """B8 inputs: every alert with event, runner, quote, rules, stake and tiers."""
     b = _bets(spark, sf, ("match_date",))
@@ -382,12 +385,18 @@ def _backtest_rows(spark, sf):
                           F.col("away_score"), F.col("minute"))
     skip = (F.when(F.col("event_id").isNull(), F.lit("no event"))
              .when(F.col("selection_id").isNull(), F.lit("no market")))
+    # account balance around each alert, from the fixture: of match and minute
+    match = F.col(KEY).cast("long")
+    before = F.pmod(match + 7 * F.col("minute"), F.lit(40)).cast("double") + 65.0
+    after = F.pmod(match + 11 * F.col("minute"), F.lit(40)).cast("double") + 65.0
     return b.withColumns({
         "size": size, "true_odd": true_odd, "rule_reason": rule, "skip_reason": skip,
         "tier_check": bt.risk_tier(F.col("odd"), RISK_LEVEL_HIGH),
         "tier_use": bt.risk_tier(true_odd, RISK_LEVEL_HIGH),
         "eligible": skip.isNull() & rule.isNull(),
-        "exposure_ok": F.lit(True), "balance_up": F.lit(False)})
+        "exposure_ok": bt.exposure_ok(before, START_BALANCE, MAX_EXPOSURE),
+        "balance_up": before > START_BALANCE,
+        "exposure_after": bt.exposure_ok(after, START_BALANCE, MAX_EXPOSURE)})
 
 
 @query("bet_budget")
@@ -404,9 +413,10 @@ def q_bet_backtest(spark, sf):
     The decision columns ride through the budget fold, so the alert rows are
     computed once."""
     rows = _backtest_rows(spark, sf)
-    carry = _BT_KEYS + ["prediction", "side", "odd", "size", "true_odd", "skip_reason", "rule_reason"]
+    carry = _BT_KEYS + ["prediction", "side", "odd", "size", "true_odd", "skip_reason", "rule_reason", "exposure_ok"]
     j = budget_fold(rows, "match_date", _BT_ORDER, BUDGET_INIT, carry)
-    reason = (F.when(F.col("skip_reason").isNotNull(), F.col("skip_reason"))
+    reason = (F.when(~F.col("exposure_ok"), F.lit("no exposure"))
+               .when(F.col("skip_reason").isNotNull(), F.col("skip_reason"))
                .when(F.col("budget_empty"), F.lit("no budget"))
                .when(F.col("rule_reason").isNotNull(), F.col("rule_reason")))
     return j.select("match_date", KEY, "minute", "bet_type", "prediction", "side", "odd", "size",
