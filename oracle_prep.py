@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle_queries import (FEATS, HIST, LIVE, R, SNAP, W, bin_means_sql, impute_sql)
+from oracle_queries import (FEATS, HIST, LIVE, R, SNAP, W, WHOLE, bin_means_sql, impute_sql)
 
 IMP = ["tiri", "falli", "contrasti"]
 ODDS = ["odd_over", "odd_under", "odd_1", "odd_X", "odd_2"]
@@ -52,9 +52,9 @@ def _sent(src: str, name: str) -> str:
     CASE WHEN odd_2 = 0 THEN 3e0 ELSE odd_2 END AS odd_2) FROM {src})"""
 
 
-def train_ctes(task: str) -> list[str]:
+def train_ctes(task: str, hist: str = HIST) -> list[str]:
     """Prepared training table ``tr_final`` and encoder ``tr_sm`` from HIST."""
-    ctes = [SNAP, HIST, _num("hist", "tr_num", BASE)]
+    ctes = [SNAP, hist, _num("hist", "tr_num", BASE)]
     ctes += _clean("tr_num", "tr", BASE, ["home_final_score", "minute", "away_final_score", "id_partita"],
                    "rows" if task == "uo" else None)
     ctes.append(bin_means_sql("tr_key", IMP, "tr_bm"))
@@ -158,7 +158,7 @@ PREP_ORACLES: dict[str, str] = {}
 for _t in ("uo", "ef"):
     _dbl = [c for c in BASE if c in NUM] + ["campionato", "actual_total_goals",
                                             "over_strongness" if _t == "uo" else "result_strongness"]
-    PREP_ORACLES[f"prep_train_{_t}"] = R(W(*train_ctes(_t)) + "SELECT * FROM tr_final", _dbl)
+    PREP_ORACLES[f"prep_train_{_t}"] = R(W(*train_ctes(_t, WHOLE)) + "SELECT * FROM tr_final", _dbl)
     _s, _d = test_sql(_t)
     PREP_ORACLES[f"prep_test_{_t}"] = R(_s, _d)
     _s, _d = live_sql(_t)
@@ -171,9 +171,9 @@ PREP_ORACLES["sink_training"] = PREP_ORACLES["prep_train_uo"]
 
 
 # ------------------------------------------------------------ result variant
-def result_train_ctes() -> list[str]:
+def result_train_ctes(hist: str = HIST) -> list[str]:
     cols = [c for c in BASE]
-    ctes = [SNAP, HIST, _num("hist", "rs_num", cols)]
+    ctes = [SNAP, hist, _num("hist", "rs_num", cols)]
     ctes += _clean("rs_num", "rs", cols, ["home_final_score", "away_final_score", "id_partita"], None)
     ctes.append(bin_means_sql("rs_key", IMP, "rs_bm"))
     imp, _ = impute_sql("rs_key", "rs_bm", IMP, True, "rs_imp")
@@ -185,7 +185,7 @@ def result_train_ctes() -> list[str]:
 
 
 _RDBL = [c for c in BASE if c in NUM] + ["result_strongness"]
-PREP_ORACLES["prep_train_result"] = R(W(*result_train_ctes()) + "SELECT * FROM rs_final", _RDBL)
+PREP_ORACLES["prep_train_result"] = R(W(*result_train_ctes(WHOLE)) + "SELECT * FROM rs_final", _RDBL)
 _lcols = [c for c in RAW_LIVE if c not in ("home_final_score", "away_final_score")]
 _lctes = result_train_ctes() + [LIVE, _num("live", "rl_num", _lcols)]
 _lctes += _clean("rl_num", "rl", _lcols, ["id_partita"], None)

@@ -61,6 +61,7 @@ snap AS (
 )"""
 
 HIST = "hist AS (SELECT * FROM snap WHERE fixture_id % 5 > 0)"
+WHOLE = "hist AS (SELECT * FROM snap)"  # operators that only train take every match
 LIVE = "live AS (SELECT * FROM snap WHERE fixture_id % 5 = 0)"
 
 SENT = """sent AS (
@@ -290,9 +291,9 @@ SMOOTH_UO = """sm AS (
          / (count(home_final_score + away_final_score) + 10e0) AS smooth,
          (SELECT avg(home_final_score + away_final_score) FROM hist) AS global_mean
   FROM hist WHERE campionato IS NOT NULL GROUP BY campionato)"""
-ORACLES["smooth_mean_uo"] = R(W(SNAP, HIST, SMOOTH_UO) + "SELECT * FROM sm",
+ORACLES["smooth_mean_uo"] = R(W(SNAP, WHOLE, SMOOTH_UO) + "SELECT * FROM sm",
                               ["mean", "smooth", "global_mean"])
-ORACLES["smooth_mean_ef"] = R(W(SNAP, HIST, f"""sm AS (
+ORACLES["smooth_mean_ef"] = R(W(SNAP, WHOLE, f"""sm AS (
   SELECT campionato, count({LABEL_EF}) AS n, avg({LABEL_EF}) AS mean,
          (count({LABEL_EF}) * avg({LABEL_EF}) + 10e0 * (SELECT avg({LABEL_EF}) FROM hist))
          / (count({LABEL_EF}) + 10e0) AS smooth,
@@ -345,11 +346,11 @@ def impute_sql(target: str, means: str, stats: list[str], poss: bool, name: str)
 
 
 IMP_STATS = ["tiri", "falli", "contrasti"]
-ORACLES["bin_means"] = R(W(SNAP, HIST, bin_means_sql("hist", IMP_STATS)) + "SELECT * FROM bm",
+ORACLES["bin_means"] = R(W(SNAP, WHOLE, bin_means_sql("hist", IMP_STATS)) + "SELECT * FROM bm",
                          [f"mean_{s}" for s in IMP_STATS])
 _imp_tr, _ = impute_sql("ht", "bm", IMP_STATS, True, "imp")
 ORACLES["impute_train"] = R(
-    W(SNAP, HIST, "ht AS (SELECT id_partita, minute, " + ", ".join(FEATS) + " FROM hist)",
+    W(SNAP, WHOLE, "ht AS (SELECT id_partita, minute, " + ", ".join(FEATS) + " FROM hist)",
       bin_means_sql("ht", IMP_STATS), _imp_tr)
     + "SELECT * FROM imp WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ["id_partita", "minute"] + FEATS),
     FEATS)
@@ -526,7 +527,7 @@ ORACLES["json_statistics"] = (W(SNAP) + "SELECT id_partita, minute, "
                               + ", ".join(_stat_expr(s, side) for s in _STAT_OUT for side in ("home", "away"))
                               + " FROM snap WHERE NOT (home_tiri IS NULL AND away_tiri IS NULL)")
 ORACLES["json_extract_key"] = """
-SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY i) AS INTEGER) AS pos, CAST(v AS VARCHAR) AS value
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY i) AS INTEGER) AS pos, v ->> '$' AS value
 FROM (
   SELECT event_id, unnest(vals) AS v, unnest(range(len(vals))) AS i
   FROM (SELECT event_id, json_extract(props, '$..k') AS vals FROM events)

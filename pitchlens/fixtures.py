@@ -14,7 +14,6 @@ joins ``orders`` by a shuffle on the customer key.
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +44,8 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     query then scans that table, so Catalyst prunes its columns and pushes
     filters into the scan, as it would for the stored table in production.
     """
-    key = (id(getattr(spark, "_jsparkSession", spark)), os.path.abspath(sf_dir),
-           tuple(_mtime(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "nation")))
+    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir,
+           tuple(_state(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "nation")))
     with _LOCK:
         path = _STORED.get(key)
         if path is None:
@@ -57,11 +56,12 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _mtime(path: str) -> float:
-    try:
-        return os.path.getmtime(path)
-    except OSError:
-        return 0.0
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
 
 
 def build_snap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,9 +85,7 @@ def drop_over_rows(df: DataFrame) -> DataFrame:
 def drop_over_matches(df: DataFrame) -> DataFrame:
     """F5 (test, live): drop every row of a match that has any row at 3+ goals.
 
-    A left-anti lookup join against the (aggregated) ids of such matches:
-    broadcast when the id set is small, salted beyond, so a match holding a
-    third of the rows is never one task.
+    A left-anti lookup join against the (aggregated) ids of such matches.
     """
     bad = df.where(goals() >= 3).select(F.col(KEY).alias("__id")).distinct()
     return lookup_join(df, bad, [KEY], ["__id"], "left_anti")

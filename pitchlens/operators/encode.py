@@ -32,9 +32,8 @@ def total_goals_target() -> Column:
 def encode_category(df: DataFrame, state: DataFrame, by: str, out: str | None = None) -> DataFrame:
     """Replace ``by`` by its smoothed mean; unseen or null -> training mean.
 
-    The state has one row per training category; its size is not bounded by
-    construction, so it is counted: broadcast when small, salted shuffle join
-    beyond, so a category holding a third of the rows never lands in one task.
+    The state has one row per training category; the join is planned by its
+    size, and a category holding a third of the rows is split.
     """
     out = out or by
     s = state.select(F.col(by).alias("__k"), "smooth")
@@ -53,26 +52,19 @@ def fit_and_encode(train: DataFrame, target_df: DataFrame, by: str, target: Colu
     return encode_category(target_df, smooth_mean(train, by, target, m), by)
 
 
-# One-hot is for low-cardinality columns: the category list becomes the schema.
-MAX_ONE_HOT_CATEGORIES = 10_000
-
-
-def one_hot(df: DataFrame, features: list[str],
-            max_categories: int = MAX_ONE_HOT_CATEGORIES) -> DataFrame:
+def one_hot(df: DataFrame, features: list[str], categories: dict[str, list] | None = None) -> DataFrame:
     """``<feature>_<value>`` 0/1 columns, smallest category dropped, originals kept.
 
-    The category list defines the output schema, so it is read (distinct,
-    sorted, aggregated on the cluster) before planning.  At most
-    ``max_categories`` values are fetched; more raises, since such a column
-    needs a target encoding (:func:`smooth_mean`) instead.
+    The category list defines the output schema.  ``categories`` gives it by
+    feature; a feature without one has its distinct values read, one for each
+    column of the result.
     """
     extra = []
     for f in features:
-        vals = [r[0] for r in df.select(f).where(F.col(f).isNotNull()).distinct()
-                .orderBy(f).limit(max_categories + 1).collect()]
-        if len(vals) > max_categories:
-            raise ValueError(f"{f}: more than {max_categories} categories; use a target encoding")
-        for v in vals[1:]:
+        vals = (categories or {}).get(f)
+        if vals is None:
+            vals = [r[0] for r in df.select(f).where(F.col(f).isNotNull()).distinct().collect()]
+        for v in sorted(vals)[1:]:
             extra.append(F.when(F.col(f) == F.lit(v), 1).otherwise(0).alias(f"{f}_{v}"))
     return df.select("*", *extra)
 
@@ -91,7 +83,7 @@ def team_priors(train: DataFrame, test: DataFrame, order_cols: list[str],
 
     A league unseen in training takes the training mean.  A team absent from
     either the home or the away side of training takes the mean on both sides.
-    Per key one aggregate (first row by ``order_cols``) and one size-checked
+    Per key one aggregate (first row by ``order_cols``) and one
     lookup join; the training means are scalar subqueries.
     """
     lp = first_prior(train, "campionato", league_col, order_cols).withColumnRenamed("campionato", "__lk")

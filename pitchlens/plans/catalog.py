@@ -291,25 +291,25 @@ def q_encode_category(spark, sf):
 @query("smooth_mean_uo")
 def q_smooth_mean_uo(spark, sf):
     """A1 (target: final total goals)."""
-    return encode.smooth_mean(fx.hist(spark, sf), "campionato", encode.total_goals_target())
+    return encode.smooth_mean(fx.snap(spark, sf), "campionato", encode.total_goals_target())
 
 
 @query("smooth_mean_ef")
 def q_smooth_mean_ef(spark, sf):
     """A1 (target: 1/2/3 result code)."""
-    return encode.smooth_mean(fx.hist(spark, sf), "campionato", label_ef())
+    return encode.smooth_mean(fx.snap(spark, sf), "campionato", label_ef())
 
 
 @query("bin_means")
 def q_bin_means(spark, sf):
     """A2: donor means per 5-minute bin for every stat pair of the table."""
-    return impute.bin_means(fx.hist(spark, sf))
+    return impute.bin_means(fx.snap(spark, sf))
 
 
 @query("impute_train")
 def q_impute_train(spark, sf):
     """J10 (training: own donors, leftovers dropped)."""
-    return impute.impute(fx.hist(spark, sf).select(KEY, "minute", *fx.SNAP_FEATURES))
+    return impute.impute(fx.snap(spark, sf).select(KEY, "minute", *fx.SNAP_FEATURES))
 
 
 @query("impute_score")
@@ -526,8 +526,7 @@ def _split_raw(spark, sf):
 
 def _prep_train_q(task):
     def q(spark, sf):
-        h, _ = _split_raw(spark, sf)
-        return preprocess.prep_train(h, task).table
+        return preprocess.prep_train(fx.as_raw(fx.snap(spark, sf)), task).table
     return q
 
 

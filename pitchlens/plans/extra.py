@@ -182,24 +182,25 @@ def q_scan_csv(spark, sf):
     return fl.read_snapshot_csv(spark, path, fl.csv_schema(raw.columns))
 
 
-def _season_files(spark, sf):
+def _season_files(spark, sf, which):
+    """One folder of files a season, named with its year; the wanted ones are read back."""
     raw = fx.raw_snapshots(spark, sf).withColumn("season", F.year(F.to_date("date")))
     path = scratch_dir(spark, "snap-seasons")
     fl.write_snapshot_csv(raw, path, partition_by=["season"])
     schema = fl.csv_schema([c for c in raw.columns if c != "season"])
-    return fl.read_numbered_files(spark, path, schema, "season")
+    return fl.read_numbered_files(spark, path, schema, which)
 
 
 @query("scan_latest_file")
 def q_scan_latest_file(spark, sf):
     """One file per season; the newest season is the live input."""
-    return fl.latest_file(_season_files(spark, sf), "season").drop("season")
+    return _season_files(spark, sf, "latest")
 
 
 @query("latest_of_file")
 def q_latest_of_file(spark, sf):
     """Newest non-missing values per match in the newest file."""
-    df = fl.latest_file(_season_files(spark, sf), "season")
+    df = _season_files(spark, sf, "latest")
     return latest_per_match(df.select(KEY, "minute", "home", "away", "home_score", "away_score",
                                       "home_tiri", "away_contrasti"))
 
@@ -223,7 +224,8 @@ def q_backfill_outcomes(spark, sf):
 from ..functions import masks as mk  # noqa: E402
 from . import model as mdl  # noqa: E402
 from . import search as srch  # noqa: E402
-from .preprocess import feature_cols, prep_test, prep_train  # noqa: E402
+from ..operators.clean import to_numeric  # noqa: E402
+from .preprocess import feature_cols, prep_live_result, prep_test, prep_train, prep_train_result  # noqa: E402
 
 # Registered model queries keep trees small (maxIter 5, depth 3) so a check
 # stays quick; the library defaults and the full grids are in plans/model.py.
@@ -236,23 +238,23 @@ SEARCH_GRID = {"learning_rate": [0.05, 0.1, 0.15, 0.20, 0.3], "n_estimators": [3
                "max_depth": [2, 3]}
 
 
-def _fit(spark, sf, task):
-    tr = prep_train(fx.as_raw(fx.hist(spark, sf)), task)
+def _fit(spark, sf, task, table=fx.hist):
+    tr = prep_train(fx.as_raw(table(spark, sf)), task)
     m = mdl.fit(tr.table, feature_cols(tr.table, task), task, SMALL)
     return tr, m
 
 
 @query("fit_uo")
 def q_fit_uo(spark, sf):
-    """M1: over/under model on the training matches; feature importances."""
-    _, m = _fit(spark, sf, "uo")
+    """M1: over/under model on all matches; feature importances."""
+    _, m = _fit(spark, sf, "uo", fx.snap)
     return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
 
 
 @query("fit_ef")
 def q_fit_ef(spark, sf):
     """M2 / M3: three one-vs-rest models for 1/X/2; mean feature importances."""
-    _, m = _fit(spark, sf, "ef")
+    _, m = _fit(spark, sf, "ef", fx.snap)
     return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
 
 
@@ -269,6 +271,27 @@ query("score_uo")(_score_q("uo"))
 query("score_ef")(_score_q("ef"))
 
 
+def _result_model(spark, sf, table):
+    tr = prep_train_result(fx.as_raw(table(spark, sf)))
+    feats = feature_cols(tr, "result")
+    return tr, mdl.fit(tr, feats, "result", SMALL)
+
+
+@query("fit_result")
+def q_fit_result(spark, sf):
+    """M3: the result model on all matches; mean feature importances."""
+    _, m = _result_model(spark, sf, fx.snap)
+    return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
+
+
+@query("score_result")
+def q_score_result(spark, sf):
+    """M3 / M4: result model of the training matches on the scoring matches."""
+    tr, m = _result_model(spark, sf, fx.hist)
+    lv = prep_live_result(to_numeric(fx.as_raw(fx.live(spark, sf))), tr)
+    return mdl.score(m, lv, [KEY, "minute"])
+
+
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf):
     """Fit, save to the shared folder, load, score the scoring matches."""
@@ -325,7 +348,7 @@ from ..streaming import live as lv  # noqa: E402
 def _landing(spark, snap_df, name):
     """Poll records written as JSON-lines files into a fresh landing folder."""
     path = scratch_dir(spark, name)
-    lv.poll_records(snap_df).repartition(4).write.json(path)
+    lv.poll_records(snap_df).write.json(path)
     return path
 
 
@@ -483,21 +506,19 @@ def q_champion_gate(spark, sf):
 @query("sink_training")
 def q_sink_training(spark, sf):
     """The processed training table written as parquet and read back."""
-    tr = prep_train(fx.as_raw(fx.hist(spark, sf)), "uo")
+    tr = prep_train(fx.as_raw(fx.snap(spark, sf)), "uo")
     path = scratch_dir(spark, "training-uo")
     fl.write_table(tr.table, path)
     return spark.read.parquet(path)
 
 
 # ------------------------------------------------------------ result variant
-from ..operators.clean import to_numeric  # noqa: E402
-from .preprocess import prep_live_result, prep_train_result  # noqa: E402
 
 
 @query("prep_train_result")
 def q_prep_train_result(spark, sf):
-    """M14 result variant on the training matches."""
-    return prep_train_result(fx.as_raw(fx.hist(spark, sf)))
+    """M14 result variant on all matches."""
+    return prep_train_result(fx.as_raw(fx.snap(spark, sf)))
 
 
 @query("prep_live_result")

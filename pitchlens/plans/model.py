@@ -115,8 +115,14 @@ def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict |
     return Model(task, features, models)
 
 
+def _keeping(m: PipelineModel) -> PipelineModel:
+    """The model with an assembler that passes missing features on as NaN: a tree sends
+    them down its right branch, so every row gets a prediction."""
+    return PipelineModel([m.stages[0].copy().setHandleInvalid("keep"), *m.stages[1:]])
+
+
 def _positive(df: DataFrame, m: PipelineModel, name: str, keep: list[str]) -> DataFrame:
-    out = m.transform(df)
+    out = _keeping(m).transform(df)
     return out.select(*keep, vector_to_array("probability")[1].alias(name))
 
 
@@ -124,7 +130,7 @@ def score(model: Model, df: DataFrame, keep: list[str] | None = None) -> DataFra
     """M4: UO adds ``prediction`` and ``probability_over``; EF adds the three
     class probabilities (normalised), ``probability`` = max and ``prediction``.
 
-    Rows with a null feature are skipped by the assembler (decision D7).
+    Rows with a missing feature are scored too; fitting leaves them out.
     """
     keep = keep or [c for c in df.columns]
     if model.task == "uo":
@@ -134,7 +140,7 @@ def score(model: Model, df: DataFrame, keep: list[str] | None = None) -> DataFra
     names = ["p1", "pX", "p2"]
     out = df
     for m, n in zip(model.models, names):
-        out = m.transform(out).withColumn(n, vector_to_array("probability")[1]).drop(
+        out = _keeping(m).transform(out).withColumn(n, vector_to_array("probability")[1]).drop(
             "features", "rawPrediction", "probability", "prediction")
     total = F.col("p1") + F.col("pX") + F.col("p2")
     out = out.select(*keep, (F.col("p1") / total).alias("probability_1"),

@@ -108,11 +108,12 @@ def prep_live(live: DataFrame, train: Prepared, task: str = "uo", cat_cols=CAT_C
 def feature_cols(df: DataFrame, task: str = "uo") -> list[str]:
     """Training columns minus id, label, outcome and odds columns, in order."""
     skip = {"home", "away", "date", "match_date", KEY, "fixture_id", "home_final_score",
-            "away_final_score", "final_uo", "final_ef", "odd_1", "odd_X", "odd_2", "odd_over",
+            "away_final_score", "final_uo", "final_ef", "result", "odd_1", "odd_X", "odd_2", "odd_over",
             "odd_under", "live_odd_1", "live_odd_X", "live_odd_2", "live_odd_over",
             "live_odd_under", "probability_over", "probability_1", "probability_X",
             "probability_2"}
-    return [c for c in df.columns if c not in skip]
+    text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}   # an unencoded league
+    return [c for c in df.columns if c not in skip | text]
 
 
 def prep_train_result(raw: DataFrame, cat_cols=CAT_COLS) -> DataFrame:

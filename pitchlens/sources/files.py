@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from .. import fixtures as fx
 from ..operators.clean import nan_to_null
 from ..operators.joins import lookup_join
 from ..schema import CAT_COLS, FINISHED_STATUS
+from ..session import path_exists
 
 
 def csv_schema(columns, cat_cols=CAT_COLS, index_col: str | None = "_c0") -> T.StructType:
@@ -44,28 +47,49 @@ def write_snapshot_csv(df: DataFrame, path: str, partition_by: list[str] | None
     w.csv(path)
 
 
-def read_numbered_files(spark: SparkSession, base: str, schema: T.StructType,
-                        number_col: str) -> DataFrame:
-    """All files below ``base``; ``number_col`` comes from the folder name.
-
-    The file number is a partition column, so ``latest_file`` / ``older_files``
-    filters on it prune whole files at planning or run time.
+def numbered_files(spark: SparkSession, folder: str) -> dict[int, list[str]]:
+    """Files (or folders of files) of ``folder`` by the last number in their name:
+    ``stats2.csv`` comes before ``stats10.csv``.  Names without a number are left out."""
+    if not path_exists(spark, folder):
+        return {}
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    found: dict[int, list[str]] = {}
+    for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at):
+        name = f.getPath().getName()
+        number = re.search(r"(\d+)(?!.*\d)", name)
+        if number and name[0] not in "._":
+            found.setdefault(int(number[1]), []).append(f.getPath().toString())
+    return found
+
+
+def read_numbered_files(spark: SparkSession, folder: str, schema: T.StructType, which: str = "all",
+                        number_col: str | None = None) -> DataFrame:
+    """The files of ``folder``, ``which``: all of them, the one with the
+    highest number (``latest``, the live input) or the others (``older``, for training).
+
+    The highest number comes from the listing, so only wanted files are read.  An
+    empty folder is an empty table; a value that does not parse raises, as for any
+    other snapshot file.  ``number_col`` adds the file's number.
     """
+    found = numbered_files(spark, folder)
+    last = max(found, default=None)
+    take = {n: p for n, p in found.items() if which == "all" or (n == last) == (which == "latest")}
+    fields = [f for f in schema if f.name != "_c0"]
+    empty = T.StructType([*fields, *([T.StructField(number_col, T.LongType())] if number_col else [])])
+    paths = [p for some in take.values() for p in some]
+    if not paths:
+        return spark.createDataFrame([], empty)
     df = (spark.read.schema(schema).option("header", True).option("nanValue", "nan")
-          .option("basePath", base).csv(base))
+          .option("mode", "FAILFAST").csv(paths))
+    if number_col:
+        own = F.regexp_extract("_metadata.file_path", r"^(?:.*/)?" + _tail(folder) + r"/([^/]*)", 1)
+        df = df.select(*df.columns, F.regexp_extract(own, r"(\d+)\D*$", 1).cast("long").alias(number_col))
     return nan_to_null(df.drop("_c0"))
 
 
-def latest_file(df: DataFrame, number_col: str) -> DataFrame:
-    """Rows of the highest-numbered file (the live input)."""
-    newest = df.agg(F.max(number_col)).scalar()
-    return df.where(F.col(number_col) == newest)
-
-
-def older_files(df: DataFrame, number_col: str) -> DataFrame:
-    """Rows of every other file (the training input)."""
-    newest = df.agg(F.max(number_col)).scalar()
-    return df.where(F.col(number_col) < newest)
+def _tail(folder: str) -> str:
+    return re.escape(folder.rstrip("/").rsplit("/", 1)[-1])
 
 
 def union_sources(api: DataFrame, scraped: DataFrame) -> DataFrame:

@@ -116,7 +116,14 @@ def test_extract_key_values_nested(spark):
     doc = '{"a": {"k": 1, "z": [{"k": "s"}]}, "k": 2, "q": {"k": {"k": true}}, "kk": 5}'
     df = spark.createDataFrame([(1, doc)], "id int, props string")
     got = [r["value"] for r in extract_key_values(df, "k", "props", ("id",)).orderBy("pos").collect()]
-    assert got == ["1", '"s"', "2", "true"]
+    assert got == ["1", "s", "2", "true"]
+
+
+def test_extract_key_values_compares_keys_exactly(spark):
+    doc = '{"axb": 1, "a.b": 2, "x\\"k": 3, "k": "q\\"uo\\u00e9", "s": "\\"k\\": 9", "a\\\\": 4}'
+    df = spark.createDataFrame([(1, doc)], "id int, props string")
+    find = lambda k: [r["value"] for r in extract_key_values(df, k, "props", ("id",)).orderBy("pos").collect()]
+    assert (find("a.b"), find("k"), find('x"k'), find("a\\")) == (["2"], ['q"uoé'], ["3"], ["4"])
 
 
 def test_statistics_defaults(spark):
@@ -291,3 +298,41 @@ def test_odds_payload_defaults_and_last_label_wins(spark):
     got = {r["id_partita"]: (r["odd_over"], r["odd_under"]) for r in parse_odds_uo(df).collect()}
     assert got["a"] == (2.05, 0.0)     # later duplicate wins; second bookmaker ignored
     assert got["b"] == (0.0, 0.0)      # no odds offered: 0 = missing
+
+
+def test_numbered_files_by_name(spark, tmp_path):
+    from pitchlens.sources import files as fl
+    schema = fl.csv_schema(["id_partita", "x"])
+    assert fl.read_numbered_files(spark, str(tmp_path / "none"), schema).count() == 0
+    for n in (1, 2, 10):
+        (tmp_path / f"stats{n}.csv").write_text(f",id_partita,x\n0,m{n},{n}.5\n1,k{n},nan\n")
+    (tmp_path / "notes.txt").write_text("no number")
+    read = lambda which: sorted(tuple(r) for r in fl.read_numbered_files(spark, str(tmp_path), schema, which).collect())
+    assert read("latest") == [("k10", None), ("m10", 10.5)]
+    assert [r[0] for r in read("older")] == ["k1", "k2", "m1", "m2"] and len(read("all")) == 6
+    got = fl.read_numbered_files(spark, str(tmp_path), schema, number_col="n")
+    assert {(r["id_partita"], r["n"]) for r in got.collect()} == {(f"{c}{n}", n) for c in "mk" for n in (1, 2, 10)}
+    (tmp_path / "stats11.csv").write_text(",id_partita,x\n0,m,oops\n")
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST|oops"):
+        fl.read_numbered_files(spark, str(tmp_path), schema, "latest").collect()
+
+
+def test_result_model_features_and_missing_values(spark, sf):
+    from pitchlens import fixtures as fx
+    from pitchlens.plans import model as mdl
+    from pitchlens.plans.preprocess import feature_cols, prep_train_result
+    tr = prep_train_result(fx.as_raw(fx.snap(spark, sf)))
+    feats = feature_cols(tr, "result")
+    assert not {"result", "campionato", "home_final_score"} & set(feats) and "result_strongness" in feats
+    m = mdl.fit(tr, feats, "result", {"maxIter": 2, "maxDepth": 2})
+    some = tr.limit(20).withColumn(feats[1], F.lit(None).cast("double"))
+    got = mdl.score(m, some, ["id_partita"]).collect()
+    assert len(got) == 20 and all(abs(r["probability_1"] + r["probability_X"] + r["probability_2"] - 1) < 1e-9 for r in got)
+
+
+def test_nothing_stays_cached(spark, sf):
+    import pitchlens.plans.extra  # noqa: F401
+    from pitchlens.plans.catalog import REGISTRY
+    for name in ("drop_over_matches", "split_test", "match_event"):
+        REGISTRY[name](spark, sf).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
