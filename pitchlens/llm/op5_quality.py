@@ -129,7 +129,12 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, bi
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, bits: int = 17, **how) -> Classifier:
     """The model of at most ``sample`` labelled rows that are not held out."""
     own = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    drawn = [own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
+    turn, drawn = F.xxhash64("doc_id"), []
+    size = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}  # two rows
+    for k in (0, 1):  # about as many by hash, wherever they lie, then at most as many
+        share = min(1.0, 1.5 * (sample // 2) / max(1, size.get(k, 0)))
+        some = own.where((F.col("label") == k) & (F.pmod(turn, F.lit(1 << 30)) <= int(share * (1 << 30))))
+        drawn.append(some.orderBy(turn, "doc_id").limit(sample // 2))
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed("doc_id", "_id"))  # sample rows of two numbers at most
     docs = documents.select("doc_id", "text")
     rows = docs.join(drawn, docs["doc_id"] == drawn["_id"]).select("label", "text").mapInArrow(counted(bits), "label int, rows array<int>, counts array<int>")
