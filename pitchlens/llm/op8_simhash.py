@@ -47,7 +47,7 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     words = F.array_remove(F.split(ascii_lower(F.coalesce("text", F.lit(""))), "[\\x20\\x09-\\x0D]+"), "")
     rows = texts.select(*keys, words.alias("w")).select(*keys, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     rows = rows.select(*keys, term_hashes(F.col("h")).alias("terms")).select(*keys, F.explode_outer("terms").alias("a"))
-    rows = rows.withColumn("b", F.xxhash64("a", F.lit(SALT)))
+    rows = rows.withColumn("b", F.when(F.col("a").isNotNull(), F.xxhash64("a", F.lit(SALT))))
     votes = [F.coalesce(F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES))), F.lit(0)).alias(f"{h}{j}") for h in "ab" for j in range(32)]
     sums = rows.groupBy(*keys).agg(F.count("a").alias("all"), *votes)
     half = lambda h: reduce(Column.bitwiseOR, [
