@@ -197,3 +197,11 @@ _lctes.append(f"rl_cl AS (SELECT * FROM rl_imp WHERE {' AND '.join(f'{c} IS NOT
 PREP_ORACLES["prep_live_result"] = R(
     W(*_lctes) + "SELECT *, (home_score - away_score) * minute AS result_strongness FROM rl_cl",
     [c for c in _lcols if c in NUM] + ["result_strongness"])
+
+
+# ------------------------------------------------------------ which rows the models score
+for _t in ("uo", "ef"):
+    PREP_ORACLES[f"scored_keys_{_t}"] = f"SELECT id_partita, minute, true AS sound FROM ({PREP_ORACLES[f'prep_test_{_t}']})"
+    PREP_ORACLES[f"live_keys_{_t}"] = f"SELECT DISTINCT id_partita, true AS sound FROM ({PREP_ORACLES[f'prep_live_{_t}']})"
+PREP_ORACLES["scored_keys_result"] = f"SELECT id_partita, minute, true AS sound FROM ({PREP_ORACLES['prep_live_result']})"
+PREP_ORACLES["roundtrip_equal"] = f"SELECT id_partita, minute, true AS equal FROM ({PREP_ORACLES['prep_test_uo']})"

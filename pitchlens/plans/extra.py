@@ -284,14 +284,16 @@ def q_fit_result(spark, sf):
     return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
 
 
-@query("score_result")
-def q_score_result(spark, sf):
+def _score_result(spark, sf):
     """M3 / M4: result model of the training matches on the scoring matches."""
     tr, m = _result_model(spark, sf, fx.hist)
     lv = prep_live_result(to_numeric(fx.as_raw(fx.live(spark, sf))), tr)
     return mdl.score(m, lv, [KEY, "minute"])
 
 
+query("score_result")(_score_result)
+
+
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf):
     """Fit, save to the shared folder, load, score the scoring matches."""
@@ -303,6 +305,46 @@ def q_model_roundtrip(spark, sf):
     return mdl.score(back, te, [KEY, "minute"])
 
 
+def _sound(task):
+    """Probabilities are probabilities, of EF and result they add up to 1, and the label is the likeliest class."""
+    if task == "uo":
+        p = F.col("probability_over")
+        return p.between(0, 1) & (F.col("prediction") == (p > 0.5).cast("int"))
+    p = [F.col(f"probability_{k}") for k in "1X2"]
+    return ((F.abs(p[0] + p[1] + p[2] - 1) < 1e-9) & (F.col("probability") == F.greatest(*p))
+            & (F.element_at(F.array(*p), F.col("prediction").cast("int")) == F.col("probability")))
+
+
+def _scored_keys_q(task):
+    def q(spark, sf):
+        return _score_q(task)(spark, sf).select(KEY, "minute", _sound(task).alias("sound"))
+    return q
+
+
+query("scored_keys_uo")(_scored_keys_q("uo"))
+query("scored_keys_ef")(_scored_keys_q("ef"))
+
+
+@query("scored_keys_result")
+def q_scored_keys_result(spark, sf):
+    """M3 / M4: every prepared live row is scored, missing features or not."""
+    return _score_result(spark, sf).select(KEY, "minute", _sound("result").alias("sound"))
+
+
+@query("roundtrip_equal")
+def q_roundtrip_equal(spark, sf):
+    """A model saved and loaded scores every row as it did before."""
+    tr, m = _fit(spark, sf, "uo")
+    path = scratch_dir(spark, "model-uo")
+    mdl.save(m, path)
+    te = prep_test(fx.as_raw(fx.live(spark, sf)), tr, "uo")
+    before = mdl.score(m, te, [KEY, "minute"])
+    after = mdl.score(mdl.load(path, "uo", m.features), te, [KEY, "minute"])
+    after = after.select(F.col(KEY).alias("k"), F.col("minute").alias("m"), F.col("probability_over").alias("again"))
+    return before.join(after, (F.col(KEY) == F.col("k")) & (F.col("minute") == F.col("m"))).select(
+        KEY, "minute", (F.col("probability_over") == F.col("again")).alias("equal"))
+
+
 def _cv_q(task, mask):
     def q(spark, sf):
         snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
@@ -341,6 +383,17 @@ query("live_predictions_uo")(_live_q("uo"))
 query("live_predictions_ef")(_live_q("ef"))
 
 
+def _live_keys_q(task):
+    def q(spark, sf):
+        p = "probability_final_over" if task == "uo" else "probability_final"
+        return _live_q(task)(spark, sf).select(KEY, F.col(p).between(0, 1).alias("sound"))
+    return q
+
+
+query("live_keys_uo")(_live_keys_q("uo"))
+query("live_keys_ef")(_live_keys_q("ef"))
+
+
 # ------------------------------------------------------------ streams
 from ..streaming import live as lv  # noqa: E402
 
