@@ -362,12 +362,10 @@ def q_random_search(spark, sf):
     """Two sampled trials, best kept, champion gate on the registry."""
     snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
     rows = srch.random_search(snaps, mk.mask_one_goal(), SEARCH_GRID, "uo", "odds", trials=2, cv=3)
-    reg = scratch_dir(spark, "registry")
-    out = []
-    for r in rows:
-        saved = srch.champion_gate(spark, reg, "uo", r["accuracy_thresh"], r["params"], "", False) \
-            if r["is_best"] else False
-        out.append((r["trial"], r["params"], r["accuracy_thresh"], r["accuracy_05"], r["is_best"], saved))
+    base = scratch_dir(spark, "models")
+    saved = srch.save_winner(spark, snaps, rows, base, "uo")
+    out = [(r["trial"], r["params"], r["accuracy_thresh"], r["accuracy_05"], r["is_best"], r["is_best"] and saved)
+           for r in rows]
     return spark.createDataFrame(out, "trial int, params string, accuracy_thresh double, "
                                       "accuracy_05 double, is_best boolean, saved boolean")
 
@@ -540,7 +538,6 @@ def q_champion_gate(spark, sf):
     mask in turn; a run is saved when its accuracy beats every earlier run
     (the registry keeps the best so far)."""
     from ..functions.features import label_uo
-    from pyspark.sql import Window
     scored = dc.blend_uo(_uo_ready(spark, sf)).withColumn("final_uo", label_uo())
     right = (F.col("prediction_final_encoded") == F.col("final_uo")).cast("double")
     runs = scored.agg(*[F.avg(F.when(mk.null_false(m()), right)).alias(f"r{i}")
@@ -549,11 +546,12 @@ def q_champion_gate(spark, sf):
     long = runs.select(F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.lit(n).alias("mask"),
                                                     F.col(f"r{i}").alias("accuracy"))
                                            for i, n in enumerate(names)])).alias("x")).select("x.*")
-    # one row per run (4 rows): the running best needs no partitioning
-    w = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max("accuracy").over(w)
-    return long.select("run", "mask", "accuracy", prev.alias("previous_best"),
-                       (prev.isNull() | (F.col("accuracy") > prev)).alias("saved"))
+    reg, out = scratch_dir(spark, "registry"), []
+    for r in sorted(long.collect(), key=lambda r: r["run"]):   # one row per mask
+        prev = srch.best_on_record(spark, reg, "uo")
+        accuracy = -1.0 if r["accuracy"] is None else r["accuracy"]
+        out.append((r["run"], r["mask"], r["accuracy"], prev, srch.champion_gate(spark, reg, "uo", accuracy, r["mask"], "")))
+    return spark.createDataFrame(out, "run int, mask string, accuracy double, previous_best double, saved boolean")
 
 
 @query("sink_training")

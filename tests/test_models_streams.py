@@ -55,3 +55,24 @@ def test_fit_accepts_any_probabilistic_estimator(spark):
     m = mdl.fit(df, ["a", "b"], "uo", {"maxIter": 5}, estimator=LogisticRegression())
     r = mdl.score(m, df).agg(F.min("probability_over"), F.max("probability_over")).first()
     assert 0 <= r[0] <= r[1] <= 1
+
+
+def test_winner_is_saved_promoted_and_loaded(spark, sf, tmp_path):
+    from pitchlens import fixtures as fx
+    from pitchlens.plans import model as mdl
+    from pitchlens.plans import search as srch
+    from pitchlens.plans.preprocess import feature_cols, prep_train
+    snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
+    rows = [{"trial": 0, "params": '{"max_depth": 2, "n_estimators": 2}', "accuracy_thresh": 0.6, "is_best": True}]
+    base = str(tmp_path / "models")
+    assert srch.save_winner(spark, snaps, rows, base)
+    assert not srch.save_winner(spark, snaps, rows, base)           # no better than what is on record
+    assert srch.save_winner(spark, snaps, rows, base, force=True)
+    tr = prep_train(fx.as_raw(fx.hist(spark, sf)), "uo")
+    feats = feature_cols(tr.table, "uo")
+    srch.promote(spark, base, "uo", feats)
+    m = mdl.load(srch.slot_path(base, "uo", "production"), "uo", feats)
+    got = srch.live_predictions(None, fx.as_raw(fx.live(spark, sf)), "uo", model=m, train=tr)
+    assert got.count() == fx.live(spark, sf).select("id_partita").distinct().count()
+    with pytest.raises(ValueError):
+        srch.slot_path(base, "uo", "staging")
