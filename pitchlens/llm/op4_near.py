@@ -4,15 +4,16 @@
    once for equal sets of a task, its registers and their band keys.  Documents
    with equal sets form a class; from here on a class is its smallest document.
 2. Stars: in every bucket of equal band keys all members are paired with the
-   smallest.  Pairs that the joint likelihood of their registers leaves possible
-   are verified on their full sets.  Linked classes are joined to components.
+   one that shares most buckets, a copy that the others were made from rather
+   than any of them.  Pairs that the joint likelihood of their registers leaves
+   possible are verified on their full sets, linked classes joined to components.
 3. Rest: only pairs that share a bucket and are in different components are
    still open.  In each bucket the largest component is set against the others,
-   in blocks of bounded size, pairs that share an earlier band left out; of the
-   possible partners of a document in one other component the likeliest are
-   verified first, then, if they failed, more, until none is open.  So a group
-   of thousands of copies costs a star and not its square, and no link between
-   different components is left out.
+   in blocks of bounded size, by their registers; what has a possible partner
+   stays.  Of these the full sets are written as differences from one of them,
+   and blocks are set against each other once more, now exactly; a block gives
+   no more links than it joins components.  So a group of thousands of copies
+   costs a star and not its square, and no link between components is left out.
 
 Bands of ``rows`` of ``m`` registers miss a pair of similarity s with chance
 (1 - s**rows) ** (m / rows): 7e-9 at 0.85 and 3e-6 at 0.8 with 5 of 160.
@@ -135,47 +136,99 @@ def linked(num: int, den: int):
     return run
 
 
-def open_pairs(least: float, rows: int, most: int):
-    """Sorted batches of the members of cells to pairs of different components that may be linked.
-
-    Of a document's partners in one other component only the ``most`` likeliest
-    are given; cut says that there are more.
-    """
-
-    def cell(t: pa.Table) -> Iterator[dict[str, np.ndarray]]:
-        node, comp, n, main, band, block = (t[c].to_numpy() for c in ("node", "comp", "n", "main", "band", "block"))
-        regs, blocks = _rows(t["regs"].combine_chunks()), len(np.unique(block))
-        # cells of the largest component set its members against the others; the rest set all against all
-        left = np.flatnonzero(main) if main.any() else np.arange(len(node))
-        right = np.flatnonzero(~main) if main.any() else np.arange(len(node))
-        for i in right:
-            other = left[comp[left] != comp[i]]
-            if not main.any():  # of two blocks only the pairs across: those within have a cell of their own
-                other = other[(node[other] < node[i]) if blocks == 1 else (block[other] < block[i])]
-            if not len(other):
-                continue
-            same = (regs[other].reshape(len(other), -1, rows) == regs[i].reshape(-1, rows)).all(-1)
-            other = other[same.argmax(1) == band[i]]  # pairs that share an earlier band are met there
-            if not len(other):
-                continue
-            ok, best = may_reach(regs[other], regs[i], n[other], np.full(len(other), n[i]), least)
-            other, best = other[ok], best[ok]
-            order = np.lexsort([-best, comp[other]])
-            other = other[order]
-            new = np.ones(len(other), bool)
-            new[1:] = comp[other][1:] != comp[other][:-1]
-            nth = np.arange(len(other)) - np.maximum.accumulate(np.where(new, np.arange(len(other)), 0))
-            take = nth <= most
-            yield {"a": node[other][take], "b": np.full(take.sum(), node[i]), "cut": nth[take] == most}
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (node, head, en, eh: their sets) to each set as what it lacks of the head's and has beyond."""
+    for b in batches:
+        size, lacks, marks = [], [], []
+        for x, h in zip(b["en"].to_pylist(), b["eh"].to_pylist(), strict=True):
+            x, h = np.frombuffer(x, "<u8"), np.frombuffer(h, "<u8")
+            gone = np.setdiff1d(h, x, assume_unique=True)
+            size.append(len(h))
+            lacks.append(len(gone))
+            marks.append(np.concatenate([gone, np.setdiff1d(x, h, assume_unique=True)]).tobytes())
+        yield pa.RecordBatch.from_arrays([b["node"], b["head"], pa.array(size, pa.int64()), pa.array(lacks, pa.int64()), pa.array(marks, pa.binary())],
+                                         names=["node", "head", "size", "lacks", "marks"])
+
+
+def open_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell's members that are in different components and not met in another cell."""
+    node, comp, main, block = (t[c].to_numpy() for c in ("node", "comp", "main", "block"))
+    # cells of the largest component set its members against the others; the rest set all against all
+    left, right = (np.flatnonzero(main), np.flatnonzero(~main)) if main.any() else (np.arange(len(node)), np.arange(len(node)))
+    wanted = comp[left][:, None] != comp[right]
+    if not main.any():  # of two blocks only the pairs across: those within have a cell of their own
+        wanted &= (node[left][:, None] < node[right]) if len(np.unique(block)) == 1 else (block[left][:, None] < block[right])
+    i, j = np.nonzero(wanted)
+    return left[i], right[j]
+
+
+def with_partner(least: float, rows: int):
+    """A cell's members that may be linked with one of another component; a pair counts in the first band it shares."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch:
+        i, j = open_pairs(t)
+        n, band, regs = t["n"].to_numpy(), t["band"].to_numpy(), _rows(t["regs"].combine_chunks())
+        fits = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[fits], j[fits]
+        equal = regs[i] == regs[j]
+        first = equal.reshape(len(i), regs.shape[1] // rows, rows).all(-1).argmax(1) == band[j]
+        i, j = i[first], j[first]
+        ok, _ = may_reach(regs[i], regs[j], n[i], n[j], least)
+        stay = np.unique(np.concatenate([i[ok], j[ok]]))
+        return pa.RecordBatch.from_arrays([t["key"].combine_chunks().take(pa.array(stay)), t["node"].combine_chunks().take(pa.array(stay))], names=["key", "node"])
+
+    return cell
+
+
+def joining(num: int, den: int):
+    """Links between a cell's members, as many as join different components."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch:
+        i, j = open_pairs(t)
+        node, comp, size, lacks = (t[c].to_numpy() for c in ("node", "comp", "size", "lacks"))
+        marks = [np.frombuffer(m, "<u8") for m in t["marks"].to_pylist()]
+        total = size - lacks + np.array([len(m) for m in marks]) - lacks
+        which = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+        _, mark = np.unique(np.concatenate(marks), return_inverse=True)
+        common = np.zeros((len(marks), len(marks)), np.int64)
+        order = np.argsort(mark, kind="stable")
+        step = max(1, (1 << 22) // len(marks))
+        for at in range(0, int(mark.max(initial=-1)) + 1, step):  # some marks at a time: their incidence by members
+            lo, hi = np.searchsorted(mark[order], [at, at + step])
+            has = np.zeros((len(marks), step), np.float32)
+            has[which[order[lo:hi]], mark[order[lo:hi]] - at] = 1
+            common += (has @ has.T).astype(np.int64)
+        both = size[i] - lacks[i] - lacks[j] + common[i, j]
+        near = den * both >= num * (total[i] + total[j] - both)
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.setdefault(c, c) != c:
+                c = up[c]
+            return c
+
+        a, b = [], []
+        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q:
+                up[q] = p
+                a.append(int(node[x]))
+                b.append(int(node[y]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cell
+
+
+def by_cell(cell):
+    """Sorted Arrow batches, through ``cell`` with all rows of a cell (key, x, y) at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, x, y = t["key"].to_numpy(), t["x"].to_numpy(), t["y"].to_numpy()
             new = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             for at, stop in zip([0, *new], [*new, len(key)], strict=True):
-                found = list(cell(t.slice(at, stop - at)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in ("a", "b", "cut")], names=["a", "b", "cut"])
+                if (found := cell(t.slice(at, stop - at))).num_rows:
+                    yield found
 
         held: pa.Table | None = None
         for b in batches:
@@ -185,10 +238,10 @@ def open_pairs(least: float, rows: int, most: int):
             key, x, y = t["key"].to_numpy(), t["x"].to_numpy(), t["y"].to_numpy()
             cut = int(np.flatnonzero((key == key[-1]) & (x == x[-1]) & (y == y[-1]))[0])
             if cut:
-                yield from emit(t.slice(0, cut))
+                yield from whole(t.slice(0, cut))
             held = t.slice(cut)
         if held is not None:
-            yield from emit(held)
+            yield from whole(held)
 
     return run
 
@@ -204,8 +257,11 @@ class NearClasses:
         classes = classes.select(F.col("first.doc").alias("node"), F.col("first.tk").alias("node_tk"), "n", "s1", "s2", "regs")
         self.classes = materialize(classes.mapInArrow(with_bands(rows), CLASSES + ", bands array<long>"), "classes")
         self.members = self.classes.select("node", F.posexplode("bands").alias("band", "key"))
-        heads = self.members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-        self.shared = materialize(self.members.join(heads.where("head < last").select("key", "head"), "key"), "members")
+        sizes = self.members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        shared = materialize(self.members.join(sizes, "key"), "members")
+        shared = shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node")
+        heads = shared.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+        self.shared = materialize(shared.join(heads, "key").select("key", "band", "node", "weight", "head"), "members")
         ends = self.classes.select("node", "node_tk").join(self.shared.select("node").distinct(), "node")
         texts = ends.join(self.docs, (F.col("node") == F.col("doc")) & (F.col("node_tk") == F.col("tk")))
         self.sets = materialize(texts.select("node", "text").mapInArrow(full_sets(size), "node long, elements binary"), "sets")
@@ -217,7 +273,7 @@ class NearClasses:
         return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(linked(self.num, self.den), "a long, b long"), "links")
 
     def stars(self) -> DataFrame:
-        """Pairs of a bucket's smallest member and another that may be linked."""
+        """Pairs of a bucket's head and another member that may be linked."""
         pairs = self.shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         own = self.classes.select("node", "n", "regs")
         one = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -226,13 +282,11 @@ class NearClasses:
         both = pairs.join(one, "a").join(two, "b").where(fits)
         return materialize(both.mapInArrow(possible(self.least), "a long, b long"), "pairs")
 
-    def rest(self, labels: DataFrame, tried: DataFrame, most: int) -> tuple[DataFrame, bool]:
-        """Open pairs of different components that are not in ``tried``, and whether there are more."""
-        own = self.shared.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("key", "band", "node", "comp")
-        own = materialize(own, "members")
+    def cells(self, own: DataFrame) -> DataFrame:
+        """Members (key, node, comp) of buckets with several components, once for each cell: blocks that are set against each other."""
         held = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
         held = held.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps"))
-        held = held.where("comps > 1 AND size > 2").select(  # of two members the star has met the pair
+        held = held.where("comps > 1").select(
             "key", F.col("main.comp").alias("main_comp"), F.ceil(F.col("main.size") / BLOCK).cast("int").alias("xs"), F.ceil((F.col("size") - F.col("main.size")) / BLOCK).cast("int").alias("ys"))
         own = own.join(held, "key").withColumn("main", F.col("comp") == F.col("main_comp"))
         turn = F.xxhash64("node")
@@ -240,29 +294,35 @@ class NearClasses:
         cells = F.when(F.col("main"), F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda j: F.struct(x.alias("x"), j.alias("y")))).otherwise(F.concat(
             F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda i: F.struct(i.alias("x"), y.alias("y"))),
             F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda j: F.struct((-1 - F.least(y, j)).alias("x"), F.greatest(y, j).alias("y")))))
-        own = own.withColumn("cell", F.explode(cells)).select("key", "cell.x", "cell.y", "node", "comp", "main", "band", F.when(F.col("main"), x).otherwise(y).alias("block"))
-        own = own.join(self.classes.select("node", "n", "regs"), "node")
+        own = own.withColumn("cell", F.explode(cells)).withColumn("block", F.when(F.col("main"), x).otherwise(y))
+        return own.select("*", "cell.x", "cell.y").drop("cell", "main_comp", "xs", "ys")
+
+    def rest(self, labels: DataFrame) -> DataFrame:
+        """Links that join different components of pairs that share a bucket."""
+        own = self.shared.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        own = materialize(own.select("key", "band", "node", "comp", "weight"), "members")
+        met = own.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("key")  # of two members the star has met the pair
         order = ["key", "x", "y", "node"]
-        found = own.select(*order, "comp", "main", "band", "block", "n", "regs").repartition("key", "x", "y").sortWithinPartitions(*order)
-        found = materialize(found.mapInArrow(open_pairs(self.least, self.rows, most), "a long, b long, cut boolean"), "open")
-        more = found.where("cut").limit(1).count() > 0
-        found = found.where("NOT cut").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return found.join(tried, ["a", "b"], "left_anti"), more
+        dealt = self.cells(own.join(met, "key")).join(self.classes.select("node", "n", "regs"), "node")
+        dealt = dealt.select(*order, "comp", "main", "band", "block", "n", "regs").repartition("key", "x", "y").sortWithinPartitions(*order)
+        stay = materialize(dealt.mapInArrow(by_cell(with_partner(self.least, self.rows)), "key long, node long").distinct(), "open")
+        own = own.join(stay, ["key", "node"])
+        heads = own.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+        own = materialize(own.join(heads, "key").select("key", "node", "comp", "head"), "members")
+        one = self.sets.select("node", F.col("elements").alias("en"))
+        two = self.sets.select(F.col("node").alias("head"), F.col("elements").alias("eh"))
+        apart = own.select("node", "head").distinct().join(one, "node").join(two, "head").select("node", "head", "en", "eh")
+        apart = materialize(apart.mapInArrow(differences, "node long, head long, size long, lacks long, marks binary"), "differences")
+        dealt = self.cells(own).join(apart, ["node", "head"])
+        dealt = dealt.select(*order, "comp", "main", "block", "size", "lacks", "marks").repartition("key", "x", "y").sortWithinPartitions(*order)
+        return materialize(dealt.mapInArrow(by_cell(joining(self.num, self.den)), "a long, b long").distinct(), "links")
 
     def components(self) -> DataFrame:
         """(node, component) of the classes that have links."""
-        tried = self.stars()
-        links = self.verified(tried)
-        labels, most = components(links), 4
-        while True:
-            pairs, more = self.rest(labels, tried, most)
-            pairs = materialize(pairs, "pairs")
-            if not pairs.isEmpty():
-                tried, links = tried.unionByName(pairs), links.unionByName(self.verified(pairs))
-                labels = components(links)
-            if not more:
-                return labels
-            most *= 16
+        links = self.verified(self.stars())
+        labels = components(links)
+        more = self.rest(labels)
+        return labels if more.isEmpty() else components(links.unionByName(more))
 
     def result(self) -> DataFrame:
         """doc, tk, n_shingles, component: a row for each row of the documents."""

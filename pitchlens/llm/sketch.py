@@ -67,6 +67,17 @@ def may_reach(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray, le
     A pair goes only if its sizes rule the similarity out, or if it is likeliest
     below ``least`` and ``least`` is exp(doubt) times less likely than that.
     """
+    ok, guess = np.zeros(len(r1), bool), np.zeros(len(r1))
+    m = r1.shape[-1]
+    # far fewer equal registers than a pair of that similarity can have: no need of the likelihood
+    near = (r1 == r2).sum(-1) >= least * m - (2 * doubt * least * (1 - least) * m) ** 0.5 - 1
+    if near.all():
+        return _likely(r1, r2, n1, n2, least, doubt)
+    ok[near], guess[near] = _likely(r1[near], r2[near], n1[near], n2[near], least, doubt)
+    return ok, guess
+
+
+def _likely(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray, least: float, doubt: float) -> tuple[np.ndarray, np.ndarray]:
     more, less = (r1 > r2).sum(-1), (r1 < r2).sum(-1)
     same = r1.shape[-1] - more - less
     n1, n2 = n1.astype(np.float64), n2.astype(np.float64)

@@ -83,7 +83,7 @@ def test_register_likeness():
         x, y = pool[:n], pool[n - shared:2 * n - shared]
         a, b = sketch.registers(x, 1000), sketch.registers(y, 1000)
         ok, best = sketch.may_reach(a[None], b[None], np.array([n]), np.array([n]), 0.85)
-        assert abs(best[0] - j) < 0.06 and ok[0] == (j > 0.8)
+        assert ok[0] == (j > 0.8) and (abs(best[0] - j) < 0.06 or not ok[0])
         assert abs((a == b).mean() - j) < 0.06
         assert (sketch.merge(a, b) == sketch.registers(np.union1d(x, y), 1000)).all()
 
