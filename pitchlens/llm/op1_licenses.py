@@ -1,6 +1,6 @@
 """License scans (native): sentences to identifiers, identifiers to licences by ordered rules.
 
-A text is cut into sentences at line ends and after stops, each sentence
+A text is cut into sentences at line ends and after stops (not colons), each sentence
 normalised (case, punctuation and spacing do not matter) and looked up among the
 known licence sentences; a sentence that begins with "copyright" and one that
 names an SPDX identifier are known by their form.  The identifiers, in the order
@@ -26,7 +26,7 @@ from pitchlens.llm._text import ascii_lower, read
 from pitchlens.llm.licenses import RULES, dictionary
 
 #: Where a sentence ends: at a line end, or at white space after a stop.
-END = r"\n+|[.!?:;][ \t]+"
+END = r"\n+|[.!?;][ \t]+"
 SPDX = "spdx license identifier "
 #: Between identifiers; rules never cross it.
 TAKEN = "|"
@@ -92,7 +92,7 @@ def oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 k(s, id) AS (VALUES {known}),
-c AS (SELECT r, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\n+|[.!?:;][ \\t]+') AS cut FROM d),
+c AS (SELECT r, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\n+|[.!?;][ \\t]+') AS cut FROM d),
 p AS (SELECT r, unnest(cut) AS s, generate_subscripts(cut, 1) AS pos FROM c),
 s AS (SELECT r, pos, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'), ' ') AS s FROM p),
 n AS (SELECT r, count(*) FILTER (s <> '') AS n FROM s GROUP BY r),
