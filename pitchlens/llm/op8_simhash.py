@@ -11,7 +11,7 @@ such pair, and each block leads a table of its own, joined on that block.
 
 :func:`with_next` gives each document its neighbour in descending order of
 ``doc_id``: ids alone are range-partitioned and numbered, so nothing but one row
-a partition meets in one place; the texts are shuffled once, by their key.
+a partition meets in one place; the texts are shuffled once, by their key (the id -2**63 stands for a null one).
 
 Defined results: null text is empty; a text without words has no votes and the
 fingerprint 0; a null ``doc_id`` comes after all others; rows with one id are in
@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlens.llm._text import ascii_lower, id_key, read
+from pitchlens.llm._text import NULL_ID, ascii_lower, id_key, read
 from pitchlens.session import materialize
 
 WORDS = 3
@@ -106,17 +106,18 @@ def next_keys(documents: DataFrame) -> DataFrame:
 def with_next(documents: DataFrame) -> DataFrame:
     """id, tk, nth, doc_id, text, chars, edited, next_id, next_tk: each row with its text, its last third replaced by the next row's start."""
     text = F.coalesce("text", F.lit(""))
-    docs = documents.select(F.col("doc_id").cast("long"), id_key(F.col("doc_id")).alias("id"), text.alias("text"), F.xxhash64(text).alias("tk"))
+    docs = documents.select(id_key(F.col("doc_id").cast("long")).alias("id"), text.alias("text"), F.xxhash64(text).alias("tk"))
     keys = materialize(next_keys(docs.select("id", "tk", F.length("text").alias("chars"))), "next")
     same = Window.partitionBy("id", "tk").orderBy(F.lit(0))
     docs = docs.withColumn("nth", F.row_number().over(same))
     asked = keys.select(F.col("next_id").alias("id"), F.col("next_tk").alias("tk"), F.col("id").alias("for_id"), F.col("tk").alias("for_tk"), F.floor(F.col("chars") / 3).cast("int").alias("third"))
-    starts = docs.where("nth = 1").join(asked, ["id", "tk"]).select("for_id", "for_tk", F.expr("substring(text, 1, third)").alias("start"))
+    # both joins read the same columns, and no limit by row number reaches below the window: so the texts are shuffled once for both
+    starts = docs.where(F.col("nth").cast("string") == "1").join(asked, ["id", "tk"]).select("for_id", "for_tk", F.expr("substring(text, 1, third)").alias("start"))
     both = docs.join(keys, ["id", "tk"]).join(starts, (F.col("id") == F.col("for_id")) & (F.col("tk") == F.col("for_tk")))
     copy_next = F.col("nth") < F.col("copies")
     kept = F.expr("substring(text, 1, chars - cast(floor(chars / 3) AS int))")
     start = F.when(copy_next, F.expr("substring(text, 1, cast(floor(chars / 3) AS int))")).otherwise(F.col("start"))
-    return both.select("id", "tk", "nth", "doc_id", "text", "chars", F.concat(kept, start).alias("edited"),
+    return both.select("id", "tk", "nth", F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "text", "chars", F.concat(kept, start).alias("edited"),
                        F.when(copy_next, F.col("id")).otherwise(F.col("next_id")).alias("next_id"), F.when(copy_next, F.col("tk")).otherwise(F.col("next_tk")).alias("next_tk"))
 
 
