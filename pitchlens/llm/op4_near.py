@@ -46,7 +46,9 @@ LAST_ID = 2**63 - 1
 SKETCHES = "doc long, tk long, n long, s1 long, s2 long, regs binary"
 CLASSES = "node long, node_tk long, n long, s1 long, s2 long, regs binary"
 #: Members of a bucket that are set against each other at once.
-BLOCK = 128
+BLOCK = 512
+#: Pairs whose registers are compared at once.
+PAIRS = 1 << 15
 
 
 def sets_of(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
@@ -169,13 +171,16 @@ def with_partner(least: float, rows: int):
         i, j = open_pairs(t)
         n, band, regs = t["n"].to_numpy(), t["band"].to_numpy(), _rows(t["regs"].combine_chunks())
         fits = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
-        i, j = i[fits], j[fits]
-        equal = regs[i] == regs[j]
-        first = equal.reshape(len(i), regs.shape[1] // rows, rows).all(-1).argmax(1) == band[j]
-        i, j = i[first], j[first]
-        ok, _ = may_reach(regs[i], regs[j], n[i], n[j], least)
-        stay = np.unique(np.concatenate([i[ok], j[ok]]))
-        return pa.RecordBatch.from_arrays([t["key"].combine_chunks().take(pa.array(stay)), t["node"].combine_chunks().take(pa.array(stay))], names=["key", "node"])
+        i, j, stay = i[fits], j[fits], np.zeros(len(n), bool)
+        for at in range(0, len(i), PAIRS):
+            x, y = i[at:at + PAIRS], j[at:at + PAIRS]
+            equal = regs[x] == regs[y]
+            first = equal.reshape(len(x), regs.shape[1] // rows, rows).all(-1).argmax(1) == band[y]
+            x, y = x[first], y[first]
+            ok, _ = may_reach(regs[x], regs[y], n[x], n[y], least)
+            stay[x[ok]] = stay[y[ok]] = True
+        some = pa.array(np.flatnonzero(stay))
+        return pa.RecordBatch.from_arrays([t[c].combine_chunks().take(some) for c in ("key", "node")], names=["key", "node"])
 
     return cell
 
