@@ -34,7 +34,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth l
 #: Rows of a length that one task numbers.
 BUCKET_ROWS = 200_000
 #: Words whose ids a worker remembers; it forgets all when there are more.
-CACHED = 600_000
+CACHED = 300_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

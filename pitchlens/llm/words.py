@@ -10,7 +10,7 @@ import pyarrow as pa
 from pitchlens.llm.suffixes import Names, mix
 
 #: Bytes of text that are worked on at once.
-PART = 1 << 21
+PART = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
