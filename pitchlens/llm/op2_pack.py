@@ -33,8 +33,8 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 #: Rows of a length that one task numbers.
 BUCKET_ROWS = 200_000
-#: Words whose ids a worker remembers; it forgets all when there are more.
-CACHED = 300_000
+#: Words whose ids a worker remembers; when there are more it forgets those that the texts at hand have not.
+CACHED = 450_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -72,8 +72,10 @@ def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """
     known = _known(path)
     words = [t.split() for t in texts]
-    if len(known) > CACHED:
-        known.clear()
+    if len(known) > CACHED:  # frequent words are among those at hand
+        at_hand = set().union(*words)
+        for w in [w for w in known if w not in at_hand]:
+            del known[w]
     new = {w: apart(w) for w in set().union(*words).difference(known)}
     todo = list({p for ps in new.values() for p in ps}.difference(known))
     known.update(zip(todo, encoded(todo, path), strict=True))
