@@ -1,5 +1,7 @@
 """Operators that SQL can express against their SQL: on the test tables and on odd rows."""
 
+import textwrap
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -48,6 +50,36 @@ def test_licenses(spark, odd, monkeypatch, tmp_path):
     assert op1_licenses.scan(docs.where("false")).count() == 0
 
 
+NOTICES = {  # rules' sentences as the standard notices have them, in paragraphs
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", SENTENCES["APACHE2_ASIS"][0] + " " + SENTENCES["APACHE2_SEE"][0]],
+    "MIT": [SENTENCES["MIT_GRANT"][0], SENTENCES["MIT_KEEP"][0], SENTENCES["MIT_ASIS"][0] + " " + SENTENCES["MIT_LIABLE"][0]],
+    "BSD-3-Clause": [SENTENCES["BSD_GRANT"][0], "1. " + SENTENCES["BSD_SOURCE"][0], "2. " + SENTENCES["BSD_BINARY"][0], "3. " + SENTENCES["BSD_ENDORSE"][0]],
+    "GPL-2.0-or-later": [SENTENCES["GPL2_FREE"][0], SENTENCES["GPL_HOPE"][0] + " " + SENTENCES["GPL_SEE"][0]],
+    "GPL-3.0-or-later": [SENTENCES["GPL_FREE"][0], SENTENCES["GPL_HOPE"][0] + " " + SENTENCES["GPL_SEE"][0]],
+    "MPL-2.0": [SENTENCES["MPL2_SHORT"][0] + " " + SENTENCES["MPL2_COPY"][0]],
+}
+
+
+def test_wrapped_licenses(spark):
+    """Every rule's notice, and every sentence, wrapped at any width behind any comment signs."""
+    cases = []
+    for name, parts in [*NOTICES.items(), *[(name, [SENTENCES[i][0] for i in seq]) for name, seq in RULES]]:
+        for width in (12, 20, 40, 72, 80, 5000):
+            for sign in ("", "# ", " * ", "// ", ";; "):
+                wrapped = [line for part in parts for line in (*textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False), "")]
+                cases.append((name, "some code\n" + "\n".join(sign + line for line in wrapped) + "\r\nmore code"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: list(r["licences"]) for r in op1_licenses.scan(df).collect()}
+    for i, (name, text) in enumerate(cases):
+        assert got[i] == [name], text
+    one = [(k, s) for k, some in SENTENCES.items() for s in some]
+    df = spark.createDataFrame([(i, "\n".join(textwrap.wrap(s, 30, break_long_words=False))) for i, (_, s) in enumerate(one)], "doc_id long, text string")
+    for r in op1_licenses.scan(df).collect():
+        assert r["identifiers"] in ([one[r["doc_id"]][0]], ["APACHE2_NOTICE_A", "APACHE2_NOTICE_B"]), one[r["doc_id"]]
+    part = spark.createDataFrame([(1, "Permission is hereby granted, free of\ncharge, to nobody."), (2, "we say mit license\nhere")], "doc_id long, text string")
+    assert [list(r["identifiers"]) for r in op1_licenses.scan(part).collect()] == [[], []]
+
+
 def test_license_tables():
     assert all(i in SENTENCES for _, seq in RULES for i in seq)
     assert len(dictionary()) == len({normal(s) for some in SENTENCES.values() for s in some})
