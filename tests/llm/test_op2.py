@@ -66,6 +66,38 @@ def test_fewest_bins():
         assert binpack.lower_bound(counts, capacity) <= fewest(sizes, capacity)
 
 
+def test_every_filling():
+    """The fewest bins need more waste than the least, fillings past the third, or a filling fewer times than it could be."""
+    sizes = [1229, 1208, 1188, 778, 553, 512, 328, 307]
+    for times in (1, 1000):
+        counts = times * np.bincount(sizes, minlength=2049)
+        assert bins(binpack.complete(counts, 2048), counts, 2048) == 3 * times == binpack.lower_bound(counts, 2048)
+
+
+def test_undominated():
+    """Each bin's undominated fillings are those found by trying everything, or dominate them."""
+    r = random.Random(5)
+    for _ in range(300):
+        room = r.randint(1, 16)
+        counts = np.bincount([r.randint(1, 20) for _ in range(r.randint(1, 8))], minlength=21)
+        got = [f for f in binpack.fillings(counts, room) if f is not None]
+        assert len(set(got)) == len(got) and all(sum(s * k for s, k in f) <= room and all(counts[s] >= k for s, k in f) for f in got)
+        every = {()}
+        for s in range(1, room + 1):
+            every |= {(*f, *[s] * k) for f in every for k in range(1, counts[s] + 1) if sum(f) + s * k <= room}
+        held = [[s for s, k in f for _ in range(k)] for f in got]
+        for f in every:
+            assert any(inside(f, h) for h in held), (f, room, counts)
+
+
+def inside(items, boxes):
+    """The items fit into boxes of these sizes."""
+    if not items:
+        return True
+    *rest, last = sorted(items)
+    return any(inside(rest, [*boxes[:i], b - last, *boxes[i + 1:]]) for i, b in enumerate(boxes) if b >= last)
+
+
 def test_many_lengths():
     r = np.random.default_rng(3)
     counts = np.bincount(np.clip(r.lognormal(6.3, 1, 5000).astype(int) + 1, 1, 2048), minlength=2049)
