@@ -227,20 +227,24 @@ from . import search as srch  # noqa: E402
 from ..operators.clean import to_numeric  # noqa: E402
 from .preprocess import feature_cols, prep_live_result, prep_test, prep_train, prep_train_result  # noqa: E402
 
-# Registered model queries keep trees small (maxIter 5, depth 3) so a check
-# stays quick; the library defaults and the full grids are in plans/model.py.
+# Models are fitted with the first seeded draw of the published grids (plans/model.py):
+# 200 trees of depth 4 for UO, 300 of depth 3 for EF and the result.
+PUBLISHED = {task: mdl.gbt_params(mdl.sample_grid(grid, 1)[0])
+             for task, grid in (("uo", mdl.GRID_UO), ("ef", mdl.GRID_EF), ("result", mdl.GRID_EF))}
+# Small trees where only keys, soundness or equality are asked for, which no tree count
+# changes (scored_keys, live_keys, roundtrip_equal), and in the stream.
 SMALL = {"maxIter": 5, "maxDepth": 3}
-# Reduced-cost grid for the registered search query (the full grids are
-# model.GRID_UO / GRID_EF): tree counts scaled down, other axes as published.
+# Reduced-cost grid for random_search (random_search_full has the published one):
+# tree counts scaled down, other axes as published.
 SEARCH_GRID = {"learning_rate": [0.05, 0.1, 0.15, 0.20, 0.3], "n_estimators": [3, 5],
                "min_child_weight": [3, 5, 10, 15], "gamma": [0.3, 0.5, 0.7, 1, 1.5],
                "subsample": [0.4, 0.6, 0.8, 1.0], "colsample_bytree": [0.4, 0.6, 0.8, 1.0],
                "max_depth": [2, 3]}
 
 
-def _fit(spark, sf, task, table=fx.hist):
+def _fit(spark, sf, task, table=fx.hist, params=None):
     tr = prep_train(fx.as_raw(table(spark, sf)), task)
-    m = mdl.fit(tr.table, feature_cols(tr.table, task), task, SMALL)
+    m = mdl.fit(tr.table, feature_cols(tr.table, task), task, params or PUBLISHED[task])
     return tr, m
 
 
@@ -258,9 +262,9 @@ def q_fit_ef(spark, sf):
     return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
 
 
-def _score_q(task):
+def _score_q(task, params=None):
     def q(spark, sf):
-        tr, m = _fit(spark, sf, task)
+        tr, m = _fit(spark, sf, task, params=params)
         te = prep_test(fx.as_raw(fx.live(spark, sf)), tr, task)
         out = mdl.score(m, te, [KEY, "minute"])
         return out
@@ -271,10 +275,10 @@ query("score_uo")(_score_q("uo"))
 query("score_ef")(_score_q("ef"))
 
 
-def _result_model(spark, sf, table):
+def _result_model(spark, sf, table, params=None):
     tr = prep_train_result(fx.as_raw(table(spark, sf)))
     feats = feature_cols(tr, "result")
-    return tr, mdl.fit(tr, feats, "result", SMALL)
+    return tr, mdl.fit(tr, feats, "result", params or PUBLISHED["result"])
 
 
 @query("fit_result")
@@ -284,9 +288,9 @@ def q_fit_result(spark, sf):
     return spark.createDataFrame(mdl.feature_importance(m), "feature string, importance double")
 
 
-def _score_result(spark, sf):
+def _score_result(spark, sf, params=None):
     """M3 / M4: result model of the training matches on the scoring matches."""
-    tr, m = _result_model(spark, sf, fx.hist)
+    tr, m = _result_model(spark, sf, fx.hist, params)
     lv = prep_live_result(to_numeric(fx.as_raw(fx.live(spark, sf))), tr)
     return mdl.score(m, lv, [KEY, "minute"])
 
@@ -317,7 +321,7 @@ def _sound(task):
 
 def _scored_keys_q(task):
     def q(spark, sf):
-        return _score_q(task)(spark, sf).select(KEY, "minute", _sound(task).alias("sound"))
+        return _score_q(task, SMALL)(spark, sf).select(KEY, "minute", _sound(task).alias("sound"))
     return q
 
 
@@ -328,13 +332,13 @@ query("scored_keys_ef")(_scored_keys_q("ef"))
 @query("scored_keys_result")
 def q_scored_keys_result(spark, sf):
     """M3 / M4: every prepared live row is scored, missing features or not."""
-    return _score_result(spark, sf).select(KEY, "minute", _sound("result").alias("sound"))
+    return _score_result(spark, sf, SMALL).select(KEY, "minute", _sound("result").alias("sound"))
 
 
 @query("roundtrip_equal")
 def q_roundtrip_equal(spark, sf):
     """A model saved and loaded scores every row as it did before."""
-    tr, m = _fit(spark, sf, "uo")
+    tr, m = _fit(spark, sf, "uo", params=SMALL)
     path = scratch_dir(spark, "model-uo")
     mdl.save(m, path)
     te = prep_test(fx.as_raw(fx.live(spark, sf)), tr, "uo")
@@ -348,7 +352,7 @@ def q_roundtrip_equal(spark, sf):
 def _cv_q(task, mask):
     def q(spark, sf):
         snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
-        res = srch.cross_validate(snaps, mask(), task, "odds", SMALL, cv=5, threshold=0.7)
+        res = srch.cross_validate(snaps, mask(), task, "odds", PUBLISHED[task], cv=5, threshold=0.7)
         return srch.cv_summary(spark, res, 5)
     return q
 
@@ -357,11 +361,9 @@ query("cv_uo")(_cv_q("uo", mk.mask_one_goal))
 query("cv_ef")(_cv_q("ef", mk.mask_mid_game))
 
 
-@query("random_search")
-def q_random_search(spark, sf):
-    """Two sampled trials, best kept, champion gate on the registry."""
+def _search(spark, sf, grid, trials, cv):
     snaps = fx.snap(spark, sf).drop(*fx.MODEL_OUTPUT)
-    rows = srch.random_search(snaps, mk.mask_one_goal(), SEARCH_GRID, "uo", "odds", trials=2, cv=3)
+    rows = srch.random_search(snaps, mk.mask_one_goal(), grid, "uo", "odds", trials=trials, cv=cv)
     base = scratch_dir(spark, "models")
     saved = srch.save_winner(spark, snaps, rows, base, "uo")
     out = [(r["trial"], r["params"], r["accuracy_thresh"], r["accuracy_05"], r["is_best"], r["is_best"] and saved)
@@ -370,10 +372,22 @@ def q_random_search(spark, sf):
                                       "accuracy_05 double, is_best boolean, saved boolean")
 
 
-def _live_q(task):
+@query("random_search")
+def q_random_search(spark, sf):
+    """Two sampled trials, best kept, champion gate on the registry."""
+    return _search(spark, sf, SEARCH_GRID, 2, 3)
+
+
+@query("random_search_full")
+def q_random_search_full(spark, sf):
+    """M11 / M12 / M13 as published: 20 trials of the published grid in 5 folds."""
+    return _search(spark, sf, mdl.GRID_UO, 20, 5)
+
+
+def _live_q(task, params=None):
     def q(spark, sf):
         return srch.live_predictions(fx.as_raw(fx.hist(spark, sf)), fx.as_raw(fx.live(spark, sf)),
-                                     task, SMALL)
+                                     task, params or PUBLISHED[task])
     return q
 
 
@@ -384,7 +398,7 @@ query("live_predictions_ef")(_live_q("ef"))
 def _live_keys_q(task):
     def q(spark, sf):
         p = "probability_final_over" if task == "uo" else "probability_final"
-        return _live_q(task)(spark, sf).select(KEY, F.col(p).between(0, 1).alias("sound"))
+        return _live_q(task, SMALL)(spark, sf).select(KEY, F.col(p).between(0, 1).alias("sound"))
     return q
 
 
