@@ -134,7 +134,7 @@ def prove(rows: DataFrame, tree: str, order: list[str], digest: str) -> tuple[Da
     row (a struct of the row's columns), subroot (bytes) and way, an array of
     (left, right), from the leaf's own run to the root.
     """
-    leaves = numbered(rows, tree, [*order, digest])
+    leaves = numbered(materialize(rows, "digests"), tree, [*order, digest])  # else texts are read once more to find the ranges
     leaves = leaves.select(F.col(tree).alias("t"), F.lit(0).alias("l"), F.col("at").alias("i"), F.col(tree).alias("tree"), "at", "n", F.col(digest).alias("d"), F.struct(*rows.columns).alias("row"))
     levels, tops = climb(leaves)
     tops = materialize(tops.select("t", "l", "i", "d", "row"), "subroots")
