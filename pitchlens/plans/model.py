@@ -1,29 +1,34 @@
-"""Boosted-tree models with spark.ml (M1-M4, S14) and model selection.
+"""Boosted-tree models (M1-M4, S14) and their grids.
 
-* UO: one binary ``GBTClassifier`` on ``final_uo``.
-* EF: ``GBTClassifier`` is binary and ``OneVsRest`` gives no probability
-  column, so three one-vs-rest GBTs (home win / draw / away win) are fitted
-  and their positive-class probabilities normalised to sum to 1.
-
-Fitting is distributed by spark.ml; folds and trials are a short driver loop
-of cluster jobs (the number of folds x trials, never the data, drives it).
+Parameters by the source's own names are fitted by :mod:`boost`: one margin for
+UO, one for each class and a softmax for EF and the result.  Any other estimator
+of spark.ml, and ``GBTClassifier`` for parameters by its own names, is fitted
+as it is: UO as one binary model, EF as three one-vs-rest models whose
+probabilities are normalised to sum to 1.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
+import re
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decide import argmax_first
+from ..session import create_file, delete_path, list_names, path_exists, read_file, scratch_dir
+from . import boost
 
 # The original search grids (xgboost parameter names).
 GRID_UO = {
@@ -44,8 +49,11 @@ GRID_EF = {
     "colsample_bytree": [0.4, 0.6, 0.8, 1.0],
     "max_depth": [2, 3, 4, 5],
 }
+# Fixed value: trees of the original result model; its other parameters are its library's defaults.
+RESULT_PARAMS = {"n_estimators": 2000}
 SEED = 12
 EF_CLASSES = [1, 2, 3]
+LABELS = {"uo": ("final_uo", [0, 1]), "ef": ("final_ef", EF_CLASSES), "result": ("result", EF_CLASSES)}
 
 
 def gbt_params(p: dict) -> dict:
@@ -69,11 +77,22 @@ def gbt_params(p: dict) -> dict:
     return out
 
 
+@dataclass
+class Boosted:
+    """Trees of each margin, and the cuts between the bins of each feature."""
+    cuts: list[np.ndarray]
+    trees: list[boost.Trees]
+
+
 @dataclass
 class Model:
     task: str
     features: list[str]
-    models: list[PipelineModel] = field(default_factory=list)
+    models: list[PipelineModel | Boosted] = field(default_factory=list)
+
+
+def by_source_names(params: dict | None) -> bool:
+    return bool(params) and set(params) <= set(boost.DEFAULTS)
 
 
 def _pipeline(features: list[str], label: str, params: dict, estimator=None) -> Pipeline:
@@ -91,15 +110,25 @@ def _pipeline(features: list[str], label: str, params: dict, estimator=None) ->
 
 
 def fit(train: DataFrame, features: list[str], task: str = "uo", params: dict | None = None,
-        estimator=None) -> Model:
+        estimator=None, path: str | None = None) -> Model:
     """M1 / M2 / M3.
 
-    EF: the three one-vs-rest labels are added to one table, which is
+    Parameters by the source's names: boosting in blocks below ``path``, a folder
+    in which a stopped fit goes on; without one, a new folder of the session.
+
+    Others, EF: the three one-vs-rest labels are added to one table, which is
     persisted once so the three fits do not recompute the preparation; the
     three fits are submitted concurrently (as ``CrossValidator`` does with
     ``parallelism``), so their many small tree-level jobs share the cluster.
     """
-    params = params or ({"maxIter": 10, "maxDepth": 3} if estimator is None else {})
+    params = params or (dict(boost.DEFAULTS) if estimator is None else {})
+    if estimator is None and by_source_names(params):
+        label, classes = LABELS[task]
+        at = path or scratch_dir(train.sparkSession, "boost")
+        trees, cuts = boost.boost(train, features, label, classes, [boost.Fit(0, params)], at, seed=SEED)
+        if path is None:
+            delete_path(train.sparkSession, at)
+        return Model(task, features, [Boosted(cuts.get(0, [np.empty(0)] * len(features)), [trees[0, k] for k in range(len(trees))])])
     if task == "uo":
         data = train.withColumn("__y", F.col("final_uo").cast("double"))
         return Model(task, features, [_pipeline(features, "__y", params, estimator).fit(data)])
@@ -133,6 +162,10 @@ def score(model: Model, df: DataFrame, keep: list[str] | None = None) -> DataFra
     Rows with a missing feature are scored too; fitting leaves them out.
     """
     keep = keep or [c for c in df.columns]
+    if isinstance(model.models[0], Boosted):
+        m = model.models[0]
+        names = [f"__margin{k}" for k in range(len(m.trees))]
+        return from_margins(boost.with_margins(df, model.features, [(m.cuts, m.trees)], names), names, keep, model.task)
     if model.task == "uo":
         out = _positive(df, model.models[0], "probability_over", keep)
         return out.withColumn("prediction", (F.col("probability_over") > 0.5).cast("int"))
@@ -151,18 +184,72 @@ def score(model: Model, df: DataFrame, keep: list[str] | None = None) -> DataFra
                             "prediction": argmax_first(probs) + 1})
 
 
+def from_margins(df: DataFrame, names: list[str], keep: list[str], task: str) -> DataFrame:
+    """Probabilities and the likeliest class from the margins in ``names``."""
+    if task == "uo":
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col(names[0])))))
+        return df.select(*keep, p.alias("probability_over")).withColumn("prediction", (F.col("probability_over") > 0.5).cast("int"))
+    top = F.greatest(*names)
+    parts = [F.exp(F.col(n) - top) for n in names]
+    total = parts[0] + parts[1] + parts[2]
+    out = df.select(*keep, *[(p / total).alias(f"probability_{c}") for p, c in zip(parts, "1X2")])
+    probs = [F.col(f"probability_{c}") for c in "1X2"]
+    return out.withColumns({"probability": F.greatest(*probs), "prediction": argmax_first(probs) + 1})
+
+
 def save(model: Model, path: str) -> None:
-    """One PipelineModel per class under ``path``."""
+    """One PipelineModel per class, or all trees, under ``path``."""
+    if isinstance(model.models[0], Boosted):
+        spark, m = SparkSession.getActiveSession(), model.models[0]
+        boost.save_trees(spark, {(0, k): t for k, t in enumerate(m.trees)}, f"{path}/trees")
+        spark.createDataFrame([([c.tolist() for c in m.cuts],)], "cuts array<array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cuts")
+        return
     for i, m in enumerate(model.models):
         m.write().overwrite().save(f"{path}/m{i}")
 
 
 def load(path: str, task: str, features: list[str]) -> Model:
+    """The model below ``path``, the newest one if models were published there."""
+    spark = SparkSession.getActiveSession()
+    path = (newest(spark, path)[1] or {"model": path})["model"]
+    if path_exists(spark, f"{path}/trees"):
+        trees = boost.load_trees(spark, f"{path}/trees")
+        cuts = spark.read.parquet(f"{path}/cuts").first()["cuts"]
+        return Model(task, features, [Boosted([np.array(c, np.float64) for c in cuts], [trees[0, k] for k in range(len(trees))])])
     n = 1 if task == "uo" else len(EF_CLASSES)
     return Model(task, features, [PipelineModel.load(f"{path}/m{i}") for i in range(n)])
 
 
+def newest(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """The number and record of the last model published below ``path``; 0 and None before the first."""
+    numbers = [n for n in list_names(spark, f"{path}/commits") if re.fullmatch(r"\d{9}", n)]
+    return (int(numbers[-1]), json.loads(read_file(spark, f"{path}/commits/{numbers[-1]}"))) if numbers else (0, None)
+
+
+def publish(model: Model, path: str, record: dict, wins: Callable[[dict | None], bool] = lambda current: True) -> bool:
+    """Save the model as a version of its own, then make it the newest one, in this order.
+
+    A reader sees the model before or this one, never a part; after a crash in
+    between, the model before stands.  ``wins`` is asked about the record that
+    stands; of two writers one makes the next record, and the other asks again.
+    """
+    spark = SparkSession.getActiveSession()
+    version = f"{path}/versions/{uuid.uuid4().hex[:12]}"
+    save(model, version)
+    while True:
+        number, current = newest(spark, path)
+        if not wins(current):
+            delete_path(spark, version)
+            return False
+        if create_file(spark, f"{path}/commits/{number + 1:09d}", json.dumps({**record, "model": version})):
+            return True
+
+
 def feature_importance(model: Model) -> list[tuple[str, float]]:
+    """The share of the splits on each feature; of spark.ml's trees, their own figure."""
+    if isinstance(model.models[0], Boosted):
+        n = sum(np.bincount(t.feature[t.cut < boost.BINS], minlength=len(model.features)) for t in model.models[0].trees)
+        return list(zip(model.features, (n / max(1, n.sum())).tolist()))
     imp = [0.0] * len(model.features)
     for m in model.models:
         v = m.stages[-1].featureImportances.toArray()

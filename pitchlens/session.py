@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -79,8 +80,62 @@ def materialize(df, name: str = "table"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    """The path and the store that it names, as the JVM has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store the path names."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    at, store = _store(spark, path)
+    return store.exists(at)
+
+
+def create_file(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a file, if there is none of the name: of several writers one gets True.
+
+    The text goes into a file of its own first, which then takes the name in one
+    step of the store, so a reader never sees half of it.
+    """
+    at, store = _store(spark, path)
+    own, _ = _store(spark, f"{path}.{uuid.uuid4().hex[:12]}")
+    out = store.create(own, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    none = spark.sparkContext._gateway.new_array(options, 1)
+    none[0] = options.NONE  # a name that is there stays
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(store.makeQualified(own), store.makeQualified(at), none)
+        return True
+    except Py4JJavaError as e:
+        store.delete(own, False)
+        if not store.exists(at):
+            raise e
+        return False
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    at, store = _store(spark, path)
+    got = store.open(at)
+    try:
+        return bytes(got.readAllBytes()).decode()
+    finally:
+        got.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    at, store = _store(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that this library has written."""
+    at, store = _store(spark, path)
+    store.delete(at, True)

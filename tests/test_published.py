@@ -15,14 +15,18 @@ class Seen(Exception):
 @pytest.mark.parametrize("name", ["fit_uo", "fit_ef", "fit_result", "score_uo", "score_ef", "score_result", "cv_uo", "cv_ef",
                                   "model_roundtrip", "live_predictions_uo", "live_predictions_ef"])
 def test_published_trees(spark, sf, monkeypatch, name):
-    def fit(train, features, task="uo", params=None, estimator=None):
-        raise Seen(task, params)
-    monkeypatch.setattr(mdl, "fit", fit)
+    def boost(table, features, label, classes, fits, path, part=None, **how):
+        raise Seen(fits)
+    monkeypatch.setattr(mdl.boost, "boost", boost)
     with pytest.raises(Seen) as e:
         entry_mod.queries()[name](spark, sf)
-    task, params = e.value.args
-    grid = mdl.GRID_UO if task == "uo" else mdl.GRID_EF
-    assert params["maxIter"] in grid["n_estimators"] and params["maxDepth"] in grid["max_depth"] and params["stepSize"] in grid["learning_rate"]
+    for fit in e.value.args[0]:
+        if name.endswith("result"):  # as the source fixes it
+            assert fit.params == {"n_estimators": 2000}
+        else:
+            grid = mdl.GRID_UO if name.endswith("uo") else mdl.GRID_EF
+            assert all(fit.params[k] in values for k, values in grid.items())
+    assert len(e.value.args[0]) == (5 if name.startswith("cv_") else 1)
 
 
 def test_published_search(spark, sf, monkeypatch):
