@@ -146,11 +146,11 @@ REC_EF = """rec_ef AS (
          greatest(probability_1, probability_X, probability_2) AS model_probability
   FROM bef)"""
 
-# Fold of a numeric match id: ((id mod p) * a + seed) mod p mod n.
-FOLD = "CAST((((fixture_id % 1000003) * 7919 + 12) % 1000003) % 5 AS INTEGER)"
+# Matches in seeded order, ((id mod p) * a + seed) mod p and then the key, dealt in turn.
+FOLD = "CAST((row_number() OVER (ORDER BY ((fixture_id % 1000003) * 7919 + 12) % 1000003, id_partita) - 1) % 5 AS INTEGER)"
 MASK_ONE_GOAL = "(minute < 70 AND minute > 30 AND home_score + away_score = 1)"
 FOLDS = f"""folds AS (
-  SELECT DISTINCT id_partita, {FOLD} AS fold FROM snap WHERE coalesce({MASK_ONE_GOAL}, false))"""
+  SELECT id_partita, {FOLD} AS fold FROM (SELECT DISTINCT id_partita, fixture_id FROM snap WHERE coalesce({MASK_ONE_GOAL}, false)))"""
 FOLD0 = "fold0 AS (SELECT id_partita FROM folds WHERE fold = 0)"
 
 

@@ -97,6 +97,18 @@ def test_folds_disjoint_by_match(spark, sf):
     f = folds.grouped_folds(fx.snap(spark, sf), mask_all(), 5)
     assert f.count() == f.select("id_partita").distinct().count()
     assert {r[0] for r in f.select("fold").distinct().collect()} <= set(range(5))
+    sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
+def test_rank_is_the_place_in_the_order(spark):
+    from pitchlens.operators.rank import with_rank
+    rows = [((i * 7919) % 101, str(i % 3)) for i in range(500)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(7)
+    got = sorted((r["rank"], r["a"], r["b"]) for r in with_rank(df, ["a", "b"]).collect())
+    assert [g[0] for g in got] == list(range(501))
+    assert [(a is not None, a or 0, b) for _, a, b in got] == sorted((a is not None, a or 0, b) for a, b in rows)
+    assert with_rank(df.where("false"), ["a"]).count() == 0
 
 
 def test_match_event_contains_semantics(spark):
