@@ -639,12 +639,12 @@ ORACLES["latest_of_file"] = R(
 _SAVED_COLS = ["fixture_id", "id_partita", "match_date", "minute", "home", "away", "campionato",
                "home_score", "away_score", "home_final_score", "away_final_score", *FEATS,
                "odd_over", "odd_under", "odd_1", "odd_X", "odd_2", "live_odd_over", "live_odd_under", "live_odd_1"]
-SAVED = ("saved AS (SELECT " + ", ".join(_SAVED_COLS) + " FROM hist UNION ALL SELECT "
+SAVED = ("saved AS MATERIALIZED (SELECT " + ", ".join(_SAVED_COLS) + " FROM hist UNION ALL SELECT "
          + ", ".join("CAST(NULL AS INTEGER) AS " + c if c in ("home_final_score", "away_final_score") else c
                      for c in _SAVED_COLS) + " FROM live)")
 _SAVED_DBL = [c for c in _SAVED_COLS if c in SNAP_DOUBLES]
 ORACLES["sink_append_open"] = R(W(SNAP, HIST, LIVE, SAVED) + "SELECT * FROM saved", _SAVED_DBL)
-RESULTS = """results AS (
+RESULTS = """results AS MATERIALIZED (
   SELECT fixture_id, CASE WHEN max(minute) >= 85 THEN 'Match Finished' ELSE 'Second Half' END AS status,
          max(home_final_score) AS gh, max(away_final_score) AS ga FROM live GROUP BY fixture_id)"""
 ORACLES["backfill_outcomes"] = R(

@@ -216,8 +216,11 @@ def q_sink_append_open(spark, sf):
 
 @query("backfill_outcomes")
 def q_backfill_outcomes(spark, sf):
-    """Open outcomes of finished fixtures filled in; a new table version."""
-    return fl.backfill_outcomes(fl.saved_match_table(spark, sf), fl.fixture_results(spark, sf))
+    """Open outcomes of finished fixtures filled in, in the stored match table's folders that have some."""
+    path, saved = scratch_dir(spark, "matches"), fl.saved_match_table(spark, sf)
+    fl.store_matches(saved, path)
+    fl.backfill_stored(spark, path, fl.fixture_results(spark, sf))
+    return spark.read.parquet(path).select(saved.columns)
 
 
 # ------------------------------------------------------------ models

@@ -12,7 +12,7 @@ from .. import fixtures as fx
 from ..operators.clean import nan_to_null
 from ..operators.joins import lookup_join
 from ..schema import CAT_COLS, FINISHED_STATUS
-from ..session import path_exists
+from ..session import materialize, path_exists
 
 
 def csv_schema(columns, cat_cols=CAT_COLS, index_col: str | None = "_c0") -> T.StructType:
@@ -147,3 +147,30 @@ def backfill_outcomes(saved: DataFrame, results: DataFrame) -> DataFrame:
                       F.when(fill, F.col("__a")).otherwise(F.col(c)).cast("int").alias(c)
                       if c == "away_final_score" else F.col(c)
                       for c in saved.columns])
+
+
+#: Column of the stored match table that its folders are named by: the month of the match.
+MONTH = "match_month"
+
+
+def store_matches(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Snapshots into the stored match table, a folder for each month."""
+    month = F.coalesce(F.substring("match_date", 1, 7), F.lit("unknown"))
+    df.withColumn(MONTH, month).write.mode(mode).partitionBy(MONTH).parquet(path)
+
+
+def backfill_stored(spark: SparkSession, path: str, results: DataFrame) -> list[str]:
+    """S13 on the stored table: only folders in which a finished fixture is open are read as a whole
+    and written anew; the files of all others stay as they are.  Returns the months written.
+
+    The new rows lie in the shared folder before any folder is replaced, and filling
+    in is repeatable, so a run that stopped is made good by running it again.
+    """
+    saved = spark.read.parquet(path)
+    done = results.where(F.col("status") == FINISHED_STATUS).select(F.col("fixture_id").alias("__fid"))
+    opened = saved.where(F.col("home_final_score").isNull()).select("fixture_id", MONTH)
+    months = [r[0] for r in lookup_join(opened, done, ["fixture_id"], ["__fid"], "left_semi").select(MONTH).distinct().collect()]  # one a folder at most
+    if months:
+        new = materialize(backfill_outcomes(saved.where(F.col(MONTH).isin(months)), results), "backfill")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    return sorted(months)

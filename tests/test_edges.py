@@ -348,3 +348,26 @@ def test_nothing_stays_cached(spark, sf):
     for name in ("drop_over_matches", "split_test", "match_event"):
         REGISTRY[name](spark, sf).count()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_backfill_leaves_other_months_alone(spark, tmp_path):
+    import os
+    from pitchlens.sources.files import backfill_stored, store_matches
+    path = str(tmp_path / "matches")
+    rows = [(1, 10, "2024-01-05", None, None), (1, 20, "2024-01-05", None, None), (2, 10, "2024-01-06", 0, 1),
+            (3, 10, "2024-02-01", 1, 1), (4, 10, "2024-03-01", None, None), (5, 10, None, None, None)]
+    store_matches(spark.createDataFrame(rows, "fixture_id long, minute int, match_date string, home_final_score int, away_final_score int"), path)
+
+    def files():
+        return {(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    results = spark.createDataFrame([(1, "Match Finished", 2, 0), (3, "Match Finished", 9, 9), (4, "Second Half", 1, 0)],
+                                    "fixture_id long, status string, goalsHomeTeam int, goalsAwayTeam int")
+    assert backfill_stored(spark, path, results) == ["2024-01"]
+    after = files()
+    other = {k: v for k, v in before.items() if "2024-01" not in k[0]}
+    assert other and other.items() <= after.items() and not {k for k in before if "2024-01" in k[0]} & set(after)
+    got = sorted((tuple(r)[:5] for r in spark.read.parquet(path).select("fixture_id", "minute", "match_date", "home_final_score", "away_final_score").collect()), key=str)
+    want = sorted([(1, 10, "2024-01-05", 2, 0), (1, 20, "2024-01-05", 2, 0), *rows[2:]], key=str)
+    assert got == want
+    assert backfill_stored(spark, path, results) == [] and files() == after  # nothing left to fill
