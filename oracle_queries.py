@@ -666,6 +666,12 @@ ORACLES["stream_snapshots"] = R(
     ["odd_over", "odd_under", "odd_1", "odd_X", "odd_2"])
 
 
+REC_POLLS = (REC_UO.replace("SELECT id_partita,", "SELECT concat(match_date, '-', CAST(fixture_id AS VARCHAR)) AS id_partita,")
+             .replace("FROM buo)", "FROM buo WHERE NOT (home_tiri IS NULL AND away_tiri IS NULL))"))
+ORACLES["stream_alerts"] = R(W(SNAP, SENT, UO_READY, BLEND_UO, REC_POLLS) + "SELECT * FROM rec_uo WHERE probability > 7e-1",
+                             ["probability", "model_probability"])
+
+
 # ------------------------------------------------------------ budget (sequential oracle)
 BT = f"""bt AS (
   SELECT b.*, d.match_date,

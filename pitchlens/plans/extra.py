@@ -410,6 +410,8 @@ query("live_keys_ef")(_live_keys_q("ef"))
 
 
 # ------------------------------------------------------------ streams
+from ..functions.odds import odds_to_prob_uo, replace_sentinels  # noqa: E402
+from ..operators import decide  # noqa: E402
 from ..streaming import live as lv  # noqa: E402
 
 
@@ -451,10 +453,19 @@ def q_stream_scores(spark, sf):
 
 @query("stream_alerts")
 def q_stream_alerts(spark, sf):
-    """Alerts above 0.7 appended to the alert table (one per match and poll)."""
+    """Polls drained in micro-batches, each joined to the stored probabilities of its
+    snapshots, blended, and its alerts written to the batch's own folder."""
+    land = _landing(spark, fx.snap(spark, sf), "landing-alerts")
+    known = fx.snap(spark, sf).select(F.col("fixture_id").alias("__f"), F.col("minute").alias("__m"), "probability_over")
+
+    def step(batch):
+        rows = odds_to_prob_uo(replace_sentinels(lv.parse_polls(batch)))
+        rows = rows.join(known, (rows["fixture_id"] == F.col("__f")) & (rows["minute"] == F.col("__m")))
+        return decide.prediction_record_uo(decide.blend_uo(rows)).where(mk.alert("probability"))
+
     sink, ck = scratch_dir(spark, "alert-sink"), scratch_dir(spark, "alert-ckpt")
-    lv.run_available_now(lv.alerts(_stream_scored(spark, sf)), sink, ck)
-    return spark.read.parquet(sink)
+    lv.run_batches(lv.read_polls(spark, land, 2), step, sink, ck)
+    return spark.read.parquet(sink).drop("batch")
 
 
 # ------------------------------------------------------------ budget and backtest
