@@ -590,6 +590,11 @@ ORACLES["event_table"] = W(SNAP, EVENTS) + "SELECT * FROM events_t"
 ORACLES["selection_table"] = (W(SNAP, EVENTS, SELS) + "SELECT event_id, selection_id, runner_name, market_name, "
                               "market_id FROM sels WHERE market_name = 'Over/Under 2.5 Goals'")
 ORACLES["best_quotes"] = R(W(QUOTES) + "SELECT * FROM quotes", ["back_price", "back_size", "lay_price", "lay_size"])
+ORACLES["runner_table"] = R(
+    W(QUOTES, "more AS (SELECT selection_id, max(price) FILTER (WHERE is_back) AS last_price_traded, sum(size)::DOUBLE AS total_matched, count(*)::DOUBLE AS adjustment_factor FROM ql GROUP BY selection_id)")
+    + "SELECT (selection_id // 10) * 2 + CASE WHEN selection_id % 10 <= 2 THEN 0 ELSE 1 END AS market_id, q.*, m.last_price_traded, m.total_matched, "
+      "'ACTIVE' AS status, CAST(NULL AS VARCHAR) AS removal_date, m.adjustment_factor FROM quotes q JOIN more m USING (selection_id)",
+    ["back_price", "back_size", "lay_price", "lay_size", "last_price_traded", "total_matched", "adjustment_factor"])
 ORACLES["match_event"] = W(*BET_BASE) + "SELECT id_partita, minute, bet_type, home, away, event_id FROM matched"
 ORACLES["join_selection"] = (W(*BET_BASE, SELS, QUOTES, BETS) + "SELECT id_partita, minute, bet_type, event_id, "
                               "runner_name, selection_id, market_id FROM bets1")

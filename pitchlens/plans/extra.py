@@ -92,6 +92,12 @@ def q_best_quotes(spark, sf):
     return bt.best_quotes(fx.runner_books(fx.quote_lines(spark, sf)))
 
 
+@query("runner_table")
+def q_runner_table(spark, sf):
+    """Order-book replies, one a market, to the runner table of their first book."""
+    return pl.parse_book_replies(pl.book_replies(fx.quote_lines(spark, sf)))
+
+
 @query("match_event")
 def q_match_event(spark, sf):
     """Alert predictions to the first event naming the home (else away) team."""

@@ -371,3 +371,16 @@ def test_backfill_leaves_other_months_alone(spark, tmp_path):
     want = sorted([(1, 10, "2024-01-05", 2, 0), (1, 20, "2024-01-05", 2, 0), *rows[2:]], key=str)
     assert got == want
     assert backfill_stored(spark, path, results) == [] and files() == after  # nothing left to fill
+
+
+def test_book_replies_first_book_and_odd_replies(spark):
+    import json
+    from pitchlens.sources.payloads import parse_book_replies
+    runner = {"selectionId": 7, "lastPriceTraded": 1.9, "totalMatched": 50.0, "status": "ACTIVE", "removalDate": None, "adjustmentFactor": 2.5,
+              "ex": {"availableToBack": [{"price": 1.8, "size": 9.0}, {"price": 1.7, "size": 99.0}], "availableToLay": [{"price": 0, "size": 3.0}], "tradedVolume": []}}
+    gone = {"selectionId": 8, "status": "REMOVED", "removalDate": "2024-01-01T00:00:00Z", "ex": {"availableToBack": []}}
+    books = [{"marketId": "1.1", "status": "OPEN", "runners": [runner, gone]}, {"marketId": "1.2", "runners": [{**runner, "selectionId": 99}]}]
+    rows = [(1, json.dumps(books)), (2, "[]"), (3, None), (4, json.dumps([{"marketId": "1.3", "runners": []}])), (5, json.dumps([{"marketId": "1.4"}]))]
+    got = [tuple(r) for r in parse_book_replies(spark.createDataFrame(rows, "market_id long, reply string")).orderBy("selection_id").collect()]
+    assert got == [(1, 7, 1.8, 9.0, 1000.0, 3.0, 1.9, 50.0, "ACTIVE", None, 2.5),
+                   (1, 8, 1.01, 1.01, 1000.0, 1.01, None, None, "REMOVED", "2024-01-01T00:00:00Z", None)]
