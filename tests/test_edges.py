@@ -384,3 +384,18 @@ def test_book_replies_first_book_and_odd_replies(spark):
     got = [tuple(r) for r in parse_book_replies(spark.createDataFrame(rows, "market_id long, reply string")).orderBy("selection_id").collect()]
     assert got == [(1, 7, 1.8, 9.0, 1000.0, 3.0, 1.9, 50.0, "ACTIVE", None, 2.5),
                    (1, 8, 1.01, 1.01, 1000.0, 1.01, None, None, "REMOVED", "2024-01-01T00:00:00Z", None)]
+
+
+def test_extract_key_escapes_nesting_and_text_that_looks_like_keys(spark):
+    from pitchlens.sources.payloads import extract_key_values
+    docs = [r'{"k": 1, "a": [{"k": "x\"y"}, [{"k": [1, {"k": true}]}]], "k": {"k": null}, "l": {"m": {"k": -2.5e3}}}',
+            r'{"a": "say \"k\": 5, and {\"k\": 6}", "b": ["x", ":7", "k"], "k\\": 8, "kk": 9, "K": 10}',
+            '{"k" :\n "line", "u": "\\u006b"}', "{}", "[]", None, '"k"', '{"k": "\\u00e9"}']
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, d string")
+    got = [tuple(r) for r in extract_key_values(df, "k", "d", ("i",)).orderBy("i", "pos").collect()]
+    assert got == [(0, 1, "1"), (0, 2, 'x"y'), (0, 3, "true"), (0, 4, "null"), (0, 5, "-2.5e3"), (2, 1, "line"), (7, 1, "é")]
+    odd = spark.createDataFrame([('{"a\\"b": 1, "é": 2}',)], "d string")
+    assert [r["value"] for r in extract_key_values(odd, 'a"b', "d", ()).collect()] == ["1"]
+    assert [r["value"] for r in extract_key_values(odd, "é", "d", ()).collect()] == ["2"]
+    escaped = spark.createDataFrame([('{"\\u006b": 3, "a": {"\\u006B": "v"}}',)], "d string")
+    assert [r["value"] for r in extract_key_values(escaped, "k", "d", ()).collect()] == ["3", "v"]
