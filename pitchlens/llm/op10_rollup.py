@@ -138,39 +138,66 @@ class Rollup:
         tried = f"{self.path}/_try-{name}-{uuid.uuid4().hex}"
         added = changes.groupBy(*KEYS).agg(*[F.sum(t).alias(t) for t in TOTALS])
         added.write.parquet(tried)
+        if not self._take(tried, f"{self.path}/batch={name}"):
+            return False
+        if name in self._snapshot()[2]:  # another try was merged, and its folder deleted, meanwhile
+            self._fs.delete(self._at(f"{self.path}/batch={name}"), True)
+            return False
+        return True
+
+    def _take(self, tried: str, wanted: str) -> bool:
+        """Rename a folder; False, and the folder deleted, if the name is taken, by whoever was first."""
         self._fs.mkdirs(self._at(self.path))
-        done = self._at(f"{self.path}/batch={name}")
+        done = self._at(wanted)
         if self._fs.exists(done) or not self._fs.rename(self._at(tried), done):
             self._fs.delete(self._at(tried), True)
             return False
-        if self._fs.exists(self._at(f"{done.toString()}/{self._at(tried).getName()}")):  # another try was first: a rename goes into a folder that is there
-            self._fs.delete(self._at(f"{done.toString()}/{self._at(tried).getName()}"), True)
+        inside = self._at(f"{done.toString()}/{self._at(tried).getName()}")
+        if self._fs.exists(inside):  # another was first: a rename goes into a folder that is there
+            self._fs.delete(inside, True)
             return False
         return True
 
-    def _parts(self) -> list[str]:
+    def _snapshot(self) -> tuple[str | None, list[str], set[str]]:
+        """From one listing: the last merge, the batches that it lacks, and those that it holds."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))] if self._fs.exists(self._at(self.path)) else []
-        merged = sorted(n for n in names if n.startswith("merged="))[-1:]  # the last one holds the earlier ones
-        held = {x for m in merged for x in self._names(f"{self.path}/{m}/names")}
-        return [f"{self.path}/{m}/rows" for m in merged] + [f"{self.path}/{n}" for n in names if n.startswith("batch=") and n.removeprefix("batch=") not in held]
+        merged = max((n for n in names if n.startswith("merged=")), default=None)  # the last one holds the earlier ones
+        held = set(self._names(f"{self.path}/{merged}/names")) if merged else set()
+        return merged, sorted({n.removeprefix("batch=") for n in names if n.startswith("batch=")} - held), held
+
+    def _parts(self, merged: str | None, batches: list[str]) -> list[str]:
+        return [f"{self.path}/{merged}/rows"] * (merged is not None) + [f"{self.path}/batch={n}" for n in batches]
 
     def totals(self, live: bool = False) -> DataFrame:
         """source, lang, version, docs, tokens, bytes over all batches; ``live``: only keys that still have documents."""
-        found = self._parts()
-        rows = self.spark.read.schema(BATCH).parquet(*found) if found else self.spark.createDataFrame([], BATCH)
-        out = rows.groupBy(*KEYS).agg(*[F.sum(t).alias(t) for t in TOTALS])
+        merged, batches, _ = self._snapshot()
+        out = self._sums(self._parts(merged, batches))
         return out.where("docs <> 0") if live else out
 
-    def compact(self) -> None:
-        """All batches so far as one row a key; totals stay what they are at every moment."""
-        names, totals = self.batches(), self.totals()
+    def _sums(self, parts: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(BATCH).parquet(*parts) if parts else self.spark.createDataFrame([], BATCH)
+        return rows.groupBy(*KEYS).agg(*[F.sum(t).alias(t) for t in TOTALS])
+
+    def compact(self) -> bool:
+        """The last merge and all batches since as one row a key; totals stay what they are at every moment.
+
+        Rows and names come from one listing, and the next merge's name from the
+        merge that it is built on: of two writers who build on the same one only
+        one gets the name, and the other's work is dropped.  Only batches that the
+        merge holds are deleted, so one committed meanwhile stays and counts.
+        """
+        merged, batches, held = self._snapshot()
+        if not batches:
+            return False
         tried = f"{self.path}/_try-merged-{uuid.uuid4().hex}"
-        totals.write.parquet(f"{tried}/rows")
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{tried}/names")
-        count = sum(s.getPath().getName().startswith("merged=") for s in self._fs.listStatus(self._at(self.path)))
-        if self._fs.rename(self._at(tried), self._at(f"{self.path}/merged={count:09d}")):
-            for n in names:
-                self._fs.delete(self._at(f"{self.path}/batch={n}"), True)
+        self._sums(self._parts(merged, batches)).write.parquet(f"{tried}/rows")
+        self.spark.createDataFrame([(n,) for n in sorted(held | set(batches))], "name string").coalesce(1).write.parquet(f"{tried}/names")
+        number = int(merged.removeprefix("merged=")) + 1 if merged else 0
+        if not self._take(tried, f"{self.path}/merged={number:09d}"):
+            return False
+        for n in batches:
+            self._fs.delete(self._at(f"{self.path}/batch={n}"), True)
+        return True
 
 
 def later_copies(counts: DataFrame) -> DataFrame:

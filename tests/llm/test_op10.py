@@ -70,3 +70,38 @@ def test_counts_like_vocabulary():
     t.encode_special_tokens = True
     texts = ["", "It's 12 o'clock, <|endoftext|> é 😀\n\n  x", "word " * 300]
     assert op.bpe_version()([x.encode() for x in texts]).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_two_writers_at_every_step(spark, tmp_path, monkeypatch):
+    """Whatever another writer commits and merges between the steps of a commit or a merge, every batch counts once."""
+    def changes(n):
+        return spark.createDataFrame([("s", "en", "v", 1, n, n)], op.BATCH)
+
+    real = op.Rollup._take
+    for k, own in enumerate(("commit", "compact", "same batch")):
+        for others in (["commit"], ["commit", "compact"], ["compact", "commit"], ["compact", "commit", "compact"]):
+            store = op.Rollup(spark, str(tmp_path / f"{k}-{'-'.join(others)}"))
+            assert store.commit("a", changes(1)) and store.commit("b", changes(2))
+            done = []
+
+            def take(self, tried, wanted, done=done, others=others, own=own, store=store):
+                if not done:  # between writing and renaming, the other writer
+                    done.append(1)
+                    for step in others:
+                        store.compact() if step == "compact" else store.commit("mine" if own == "same batch" else "other", changes(4))
+                return real(self, tried, wanted)
+
+            with monkeypatch.context() as m:
+                m.setattr(op.Rollup, "_take", take)
+                if own == "compact":
+                    store.compact()
+                elif own == "commit":
+                    assert store.commit("mine", changes(8))
+                else:
+                    assert not store.commit("mine", changes(4))
+            want = {"commit": 15, "compact": 7, "same batch": 7}[own]
+            for _ in range(2):
+                assert store.totals().first()["tokens"] == want, (own, others)
+                assert set(store.batches()) == {"a", "b"} | ({"mine"} if own != "compact" else set()) | ({"other"} if own != "same batch" else set())
+                assert not store.commit("a", changes(1))
+                store.compact()
