@@ -5,6 +5,7 @@ import re
 import pytest
 
 from pitchlens import fixtures as fx
+from pitchlens.plans.preprocess import prep_train
 
 
 def plan(df, kind="optimizedPlan"):
@@ -38,3 +39,10 @@ def test_lines_are_joined_once_and_read_no_column_they_do_not_need(spark, small)
     text = plan(snap)
     assert "l_orderkey" in re.search(r"Join Inner, (.*)", text)[1]  # the outermost join: customers came before
     assert "l_shipdate" not in plan(snap, "executedPlan") and "l_discount" not in plan(snap, "executedPlan")
+
+
+@pytest.mark.parametrize("task", ["uo", "ef"])
+def test_no_table_is_shuffled_by_league(spark, sf, task):
+    tr = prep_train(fx.as_raw(fx.hist(spark, sf)), task)
+    assert "Aggregate" not in plan(tr.encoder)  # stored, so its size is known
+    assert "hashpartitioning(campionato" not in plan(tr.table, "executedPlan")
