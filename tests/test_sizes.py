@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitchlens import fixtures as fx
+from pitchlens.plans import model as mdl
 from pitchlens.plans.preprocess import prep_train
 
 
@@ -46,3 +48,19 @@ def test_no_table_is_shuffled_by_league(spark, sf, task):
     tr = prep_train(fx.as_raw(fx.hist(spark, sf)), task)
     assert "Aggregate" not in plan(tr.encoder)  # stored, so its size is known
     assert "hashpartitioning(campionato" not in plan(tr.table, "executedPlan")
+
+
+def test_a_fit_deals_rows_to_tasks_of_bounded_size(spark, monkeypatch):
+    rows = [(float(i % 7), float(i % 3), (i * 7919) % 3 + 1, (i * 31) % 2) for i in range(250)]
+    df = spark.createDataFrame(rows, "a double, b double, final_ef int, final_uo int").coalesce(1)
+    assert mdl.dealt(df)[1] == 1
+    monkeypatch.setattr(mdl, "FIT_ROWS", 100)
+    data, n = mdl.dealt(df)
+    sizes = data.groupBy(F.spark_partition_id()).count().collect()
+    assert n == 3 and len(sizes) == 3 and max(r["count"] for r in sizes) <= 100
+    assert sorted(map(tuple, data.collect())) == sorted(rows)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for task in ("uo", "ef"):
+        m = mdl.fit(df, ["a", "b"], task, {"maxIter": 2, "maxDepth": 2})
+        assert mdl.score(m, df).count() == 250
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
