@@ -15,13 +15,18 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +39,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth l
 #: Rows of a length that one task numbers.
 BUCKET_ROWS = 200_000
 #: Words whose ids a worker remembers; when there are more it forgets those that the texts at hand have not.
-CACHED = 450_000
+CACHED = 300_000
+#: Bytes of text that a task has cut into words at once.
+TEXT = 3 << 20
+#: Words of lower-cased ASCII letters and letters from U+00C0 to U+00FF, all of them whole characters without combining marks.
+LATIN = re.compile(rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
+#: ASCII characters that are neither letter, digit nor white space.
+MARKS = string.punctuation.encode()
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -47,21 +58,20 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores; threads of its own only cost memory and time
     return Tokenizer.from_file(path)
 
 
 @cache
-def _known(path: str) -> dict[bytes, bytes]:
-    return {}
+def _spelled(path: str) -> dict[int, str]:
+    """How the tokenizer's model spells letters from U+00C0 to U+00FF: lower-cased, a character a byte, as its pre-tokenizer gives them."""
+    tok = _tokenizer(path)
+    return {ord(c): "".join(s for s, _ in tok.pre_tokenizer.pre_tokenize_str(c.lower())) for c in map(chr, range(0xC0, 0x100)) if c.isalpha()}
 
 
-def apart(word: bytes) -> tuple[bytes, ...]:
-    """What of a word the tokenizer sees as one: case of ASCII does not matter to it, and marks after letters stand alone."""
-    if not word.isascii() or b"<|" in word:  # special tokens are told by their case
-        return (word,)
-    low = word.lower()
-    stem = low.rstrip(b".,;:!?")
-    return (stem, low[len(stem):]) if stem != low and stem.isalpha() else (low,)
+@cache
+def _known(path: str) -> dict[bytes, bytes]:
+    return {}
 
 
 def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
@@ -72,34 +82,47 @@ def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """
     known = _known(path)
     words = [t.split() for t in texts]
+    at_hand = set().union(*words)
     if len(known) > CACHED:  # frequent words are among those at hand
-        at_hand = set().union(*words)
-        for w in [w for w in known if w not in at_hand]:
-            del known[w]
-    new = {w: apart(w) for w in set().union(*words).difference(known)}
-    todo = list({p for ps in new.values() for p in ps}.difference(known))
-    known.update(zip(todo, encoded(todo, path), strict=True))
-    known.update((w, b"".join([known[p] for p in ps])) for w, ps in new.items())
+        kept = {w: known[w] for w in at_hand if w in known}
+        known.clear()
+        known.update(kept)
+    learn([w for w in at_hand if w not in known], path, known)
     for ws in words:
         yield b"".join(map(known.__getitem__, ws))
 
 
-def encoded(words: list[bytes], path: str, together: int = 100) -> list[bytes]:
-    """Each word's ids.  Words without digits go through the tokenizer together, with a digit, always a token of its own, between."""
-    tok, out = _tokenizer(path), [b""] * len(words)
-    plain = [i for i, w in enumerate(words) if w.isalpha()]  # of bytes: ASCII letters only
-    mark = tok.encode("0", add_special_tokens=False).ids
-    groups = [plain[at:at + together] for at in range(0, len(plain), together)]
-    for some, e in zip(groups, tok.encode_batch_fast([" 0 ".join([words[i].decode() for i in g]) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.asarray(e.ids, "<u4")
-        cuts = np.flatnonzero(ids == mark[0])
-        raw = ids.tobytes()
-        for i, a, b in zip(some, [0, *(4 * (cuts + 1))], [*(4 * cuts), len(raw)], strict=True):
-            out[i] = raw[a:b]
-    other = [i for i, w in enumerate(words) if not w.isalpha()]
-    for i, e in zip(other, tok.encode_batch_fast([words[i].decode() for i in other], add_special_tokens=False), strict=True):
-        out[i] = np.asarray(e.ids, "<u4").tobytes()
-    return out
+def learn(words: list[bytes], path: str, known: dict[bytes, bytes], together: int = 1000) -> None:
+    """Adds each word's ids to those known.
+
+    Letters that need no normalizing but lower case are one pre-token, for which the
+    tokenizer's model is asked itself; marks after them stand alone.  All other words
+    go through the whole tokenizer.
+    """
+    tok, spelled, other = _tokenizer(path), _spelled(path), []
+    tokenize = tok.model.tokenize
+    for w in words:
+        low = w.lower()  # of bytes: ASCII letters only
+        stem = low.rstrip(MARKS)
+        ids = known.get(stem)
+        if stem.isalpha():
+            ids = ids or array("I", [t.id for t in tokenize(stem.decode())]).tobytes()
+        elif LATIN(stem):
+            ids = ids or array("I", [t.id for t in tokenize(stem.decode().translate(spelled))]).tobytes()
+        else:
+            other.append(w)
+            continue
+        known[stem] = ids
+        if stem != low:
+            marks = low[len(stem):]
+            if marks not in known:
+                known[marks] = array("I", tok.encode(marks.decode(), add_special_tokens=False).ids).tobytes()
+            ids += known[marks]
+        known[w] = ids
+    for at in range(0, len(other), together):  # what the tokenizer returns is large, so some at a time
+        some = other[at:at + together]
+        found = tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found, strict=True))
 
 
 def cut_pieces(path: str, capacity: int, end_id: int):
@@ -108,15 +131,17 @@ def cut_pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, nth = np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
-            ids, texts = b["doc_id"].to_pylist(), [t or b"" for t in b["text"].cast(pa.binary()).to_pylist()]
+            ids, column = b["doc_id"].to_pylist(), b["text"].cast(pa.binary())
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             rows: list[tuple] = []
             at = 0
-            while at < len(texts):  # a few MB of text at a time
+            while at < len(sizes):  # a few MB of text at a time
                 stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) < 4 << 20):
-                    size += len(texts[stop])
+                while stop < len(sizes) and (stop == at or size + sizes[stop] < TEXT):
+                    size += sizes[stop]
                     stop += 1
-                for doc, coded in zip(ids[at:stop], token_ids(texts[at:stop], path), strict=True):
+                texts = [t or b"" for t in column.slice(at, stop - at).to_pylist()]
+                for doc, coded in zip(ids[at:stop], token_ids(texts, path), strict=True):
                     coded += end
                     n = len(coded) // 4
                     for piece, start in enumerate(range(0, n, capacity)):

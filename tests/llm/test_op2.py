@@ -1,6 +1,7 @@
 """Packing: ids like the tokenizer's, gapless sequences, numbers of bins against the bound and against exhaustive search."""
 
 import random
+import string
 import zlib
 
 import numpy as np
@@ -26,6 +27,36 @@ def test_ids(tok):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_of_letters_and_marks(tok):
+    r = random.Random(5)
+    letters = "abzABZß×÷ªµ" + "".join(map(chr, range(0xC0, 0x100)))
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(0, 6))) + "".join(r.choice(string.punctuation) for _ in range(r.randint(0, 3)))
+                      + r.choice(["", "", "", "s", "\u0301", "\u0338"]) for _ in range(20)) for _ in range(200)]
+    for _ in range(2):  # from the tokenizer, then as remembered
+        got = list(op2_pack.token_ids([t.encode() for t in texts], op2_pack.vocabulary()))
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_few_words_at_once(tok, monkeypatch):
+    """What the tokenizer returns is far larger than the words, so it gets a bounded number of them."""
+    class Counted:
+        model, pre_tokenizer, sizes = tok.model, tok.pre_tokenizer, []
+
+        def encode(self, *a, **k):
+            return tok.encode(*a, **k)
+
+        def encode_batch_fast(self, words, **k):
+            self.sizes.append(len(words))
+            return tok.encode_batch_fast(words, **k)
+
+    monkeypatch.setattr(op2_pack, "_tokenizer", lambda path: Counted())
+    text = " ".join(f"{i}é{i}" for i in range(5000))
+    got, = op2_pack.token_ids([text.encode()], op2_pack.vocabulary())
+    assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert 0 < max(Counted.sizes) <= 1000
+
+
 def fewest(sizes, capacity):
     """By trying everything."""
     best = [len(sizes)]
