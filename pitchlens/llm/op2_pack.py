@@ -39,9 +39,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth l
 #: Rows of a length that one task numbers.
 BUCKET_ROWS = 200_000
 #: Words whose ids a worker remembers; when there are more it forgets those that the texts at hand have not.
-CACHED = 300_000
+CACHED = 100_000
 #: Bytes of text that a task has cut into words at once.
-TEXT = 3 << 20
+TEXT = 1 << 20
 #: Words of lower-cased ASCII letters and letters from U+00C0 to U+00FF, all of them whole characters without combining marks.
 LATIN = re.compile(rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
 #: ASCII characters that are neither letter, digit nor white space.

@@ -39,7 +39,7 @@ from pitchlens.llm._text import read
 from pitchlens.llm.graph import components
 from pitchlens.llm.sketch import band_keys, may_reach, registers
 from pitchlens.llm.suffixes import mix
-from pitchlens.llm.words import binary, parts, shingles, word_hashes
+from pitchlens.llm.words import SMALL_PART, binary, parts, shingles, word_hashes
 from pitchlens.session import materialize
 
 LAST_ID = 2**63 - 1
@@ -52,7 +52,7 @@ PAIRS = 1 << 15
 
 
 def sets_of(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
-    for _, some in parts(texts):
+    for _, some in parts(texts, SMALL_PART):
         hashes, count = word_hashes(some)
         for own in np.split(hashes, np.cumsum(count)[:-1]):
             yield shingles(own, size)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pitchlens.llm._text import read
 from pitchlens.llm.suffixes import Names, mix
-from pitchlens.llm.words import SPACE, binary, parts
+from pitchlens.llm.words import SMALL_PART, SPACE, binary, parts
 
 GRAMS = (3, 4, 5)
 
@@ -156,7 +156,7 @@ def scored(weights: np.ndarray, bias: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for _, some in parts(binary(b["text"])):
+            for _, some in parts(binary(b["text"]), SMALL_PART):
                 total, n = np.zeros(len(some)), np.zeros(len(some))
                 for row, which in features(some, bits):
                     total += np.bincount(which, weights=weights[row], minlength=len(some))

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from pitchlens.llm import op5_quality
 from pitchlens.llm._text import read
@@ -41,3 +42,21 @@ def test_odd_rows(spark):
     one = op5_quality.quality(docs, labels.where("quality = 1"), bits=10)
     assert {r["predicted"] for r in one.collect()} == {1}
     assert op5_quality.quality(docs.where("false"), labels.where("false"), bits=10).count() == 0
+
+
+def test_scoring_holds_little_at_a_time():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, r.integers(97, 123, 6))) for _ in range(400)) for _ in range(800)]
+    weights, b = r.normal(size=1 << 10), pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    try:
+        together = next(op5_quality.scored(weights, 0.1, 10)(iter([b])))["score"].to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30 << 20  # over 50 MB when a million bytes were worked on at once
+    for i in (0, 399, 799):
+        alone = next(op5_quality.scored(weights, 0.1, 10)(iter([b.slice(i, 1)])))["score"].to_pylist()
+        assert abs(alone[0] - together[i]) < 1e-12
