@@ -62,6 +62,57 @@ def test_cut_up():
     assert op7_hmm.cut_up(np.arange(9), np.array([3, 1, 5]), 2)[1].tolist() == [2, 1, 1, 2, 2, 1]
 
 
+def plain(model, seq):
+    """Expected starts, moves and emissions of one sequence, step by step."""
+    alpha, beta = [model.start * model.emit[seq[0]]], [np.ones(model.states)]
+    for c in seq[1:]:
+        alpha.append(alpha[-1] @ model.move * model.emit[c])
+        alpha[-1] /= alpha[-1].sum()
+    for c in seq[:0:-1]:
+        beta.append(model.move @ (model.emit[c] * beta[-1]))
+        beta[-1] /= beta[-1].sum()
+    beta = beta[::-1]
+    gamma = np.array([a * b / (a @ b) for a, b in zip(alpha, beta)])
+    move, emit = np.zeros((model.states,) * 2), np.zeros_like(model.emit)
+    for t in range(len(seq) - 1):
+        both = np.outer(alpha[t], model.emit[seq[t + 1]] * beta[t + 1]) * model.move
+        move += both / both.sum()
+    np.add.at(emit, seq, gamma)
+    return gamma[0], move, emit
+
+
+@pytest.mark.parametrize("most", [1, 7, 64, 1 << 18])
+def test_windows_like_whole_texts(most):
+    r, model = np.random.default_rng(4), small(6)
+    seqs = [r.integers(0, 5, n) for n in (1, 300, 2, 2, 40, 7, 299, 1)]
+    got = op7_hmm.expected(model, np.concatenate(seqs), np.array([len(s) for s in seqs]), most)
+    want = [sum(x) for x in zip(*[plain(model, s) for s in seqs])]
+    for g, w in zip(got, want, strict=True):
+        assert np.allclose(g, w, rtol=1e-4)
+
+
+def test_numbers_too_small_for_four_bytes():
+    emit = np.array([[1, 1e-30], [1e-30, 1]]) / (1 + 1e-30)
+    model = op7_hmm.Hmm(np.full(2, 0.5), np.array([[1 - 1e-12, 1e-12], [1e-12, 1 - 1e-12]]), emit)
+    seq = np.array([0, 0, 1, 0, 1, 1])
+    for g, w in zip(op7_hmm.expected(model, seq, np.array([6])), plain(model, seq), strict=True):
+        assert np.allclose(g, w)
+
+
+def test_every_round_reads_all_texts_whole(spark):
+    """Also where a sample of one text and stretches of four tokens were asked for."""
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{w}" for w in r.integers(0, 9, n))) for i, n in enumerate([3, 0, 400, 20, 1, 9, 35, 2] * 4)]
+    got = op7_hmm.HmmModel(spark.createDataFrame(rows, "doc_id long, text string"), states=2, classes=8, rounds=1, sample=1, sample_rounds=2, stretch=4)
+    seqs = [op7_hmm.class_of(h, 8) for h, _ in op7_hmm.tokens([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10])]
+    ends = [np.split(s, np.flatnonzero(s == 8)[:-1] + 1) for s in seqs]
+    model = op7_hmm.first_model(got.class_tokens, got.prior, 2)
+    for _ in range(3):
+        model = op7_hmm.maximized(*[sum(x) for x in zip(*[plain(model, s) for some in ends for s in some])], got.prior)
+    for k in ("start", "move", "emit"):
+        assert np.allclose(getattr(got.model, k), getattr(model, k), rtol=1e-4)
+
+
 def base(rows):
     tok = lambda t: [*(t or "").encode().lower().split(), None]
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
